@@ -18,7 +18,11 @@ def grams(text: Column) -> Column:
 def minwise(text: Column, size: int) -> Column:
     """``size`` minwise values of the text's character pairs."""
     hashed = grams(text)
-    return F.array(*(F.array_min(F.transform(hashed, lambda h, i=i: F.xxhash64(h, F.lit(i)))) for i in range(size)))
+
+    def lowest(seed: int) -> Column:
+        return F.array_min(F.transform(hashed, lambda h: F.xxhash64(h, F.lit(seed))))
+
+    return F.array(*(lowest(i) for i in range(size)))
 
 
 def deletions(text: Column) -> Column:
