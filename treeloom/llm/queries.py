@@ -11,6 +11,7 @@ from treeloom.llm import contact
 from treeloom.llm.extid import content, ext_id_texts
 from treeloom.llm.incremental import deduplicate
 from treeloom.llm.survivors import survivors
+from treeloom.llm.truncation import rates, truncated
 from treeloom.runtime import table
 
 #: How far the feeds of users_77 are trusted in p1_survivors; others count as 1.
@@ -49,10 +50,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.repeats().select(F.lit("users_77").alias("table_name"), "key_a", "key_b").unionByName(events.repeats().select(F.lit("events_77").alias("table_name"), "key_a", "key_b"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncated(table(spark, sf_dir, "documents")).where("is_cut").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rates(docs, truncated(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_survivors": p1_survivors,
     "p5_found": p5_found,
+    "p8_found": p8_found,
+    "p8_rates": p8_rates,
 }
 
 SQL: dict[str, str] = {}
