@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from treeloom.llm import contact
 from treeloom.llm.extid import content, ext_id_texts
+from treeloom.llm.features import document_features
 from treeloom.llm.incremental import deduplicate
+from treeloom.llm.mixing import mix
+from treeloom.llm.packing import fill, pack
 from treeloom.llm.survivors import survivors
 from treeloom.llm.truncation import rates, truncated
 from treeloom.runtime import table
@@ -50,6 +53,32 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.repeats().select(F.lit("users_77").alias("table_name"), "key_a", "key_b").unionByName(events.repeats().select(F.lit("events_77").alias("table_name"), "key_a", "key_b"))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(document_features(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_specs"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill(p6_packed(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str, budget: float | str | None = None) -> tuple[DataFrame, DataFrame]:
+    features = document_features(table(spark, sf_dir, "documents"), source="source", lang="lang")
+    return mix(features, table(spark, sf_dir, "mix_targets"), budget=budget)
+
+
+def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
+
+
+def p7_shares_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the largest mixture in which no cap binds."""
+    return _mixed(spark, sf_dir, "exact")[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncated(table(spark, sf_dir, "documents")).where("is_cut").select("doc_id")
 
@@ -63,6 +92,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_survivors": p1_survivors,
     "p5_found": p5_found,
+    "p6_packed": p6_packed,
+    "p6_fill": p6_fill,
+    "p7_mixed": p7_mixed,
+    "p7_shares": p7_shares,
+    "p7_shares_exact": p7_shares_exact,
     "p8_found": p8_found,
     "p8_rates": p8_rates,
 }
