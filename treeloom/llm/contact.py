@@ -5,6 +5,8 @@ All expressions are built-in columns, so they stay inside generated code.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,7 +31,14 @@ def clean(value: Column) -> Column:
     """ASCII for full-width forms, no invisible characters, single spaces, trimmed."""
     narrow = F.translate(value, _WIDE, _NARROW)
     visible = F.regexp_replace(narrow, r"[\p{Cf}]", "")
-    return F.trim(F.regexp_replace(visible, r"[\s\p{Z}]+", " "))
+    full = F.trim(F.regexp_replace(visible, r"[\s\p{Z}]+", " "))
+    # most values are plain already and skip the work
+    return F.when(F.length(value) == 0, value).when(value.rlike(r"^[\x21-\x7e]+( [\x21-\x7e]+)*$"), value).otherwise(full)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
 def _unwrap(text: Column) -> Column:
@@ -40,34 +49,51 @@ def is_filler(words: Column) -> Column:
     return words.isin(*FILLER)
 
 
+_ADDRESS = r"^[a-z0-9_!#$%&'*+/=?^{|}~-]+(\.[a-z0-9_!#$%&'*+/=?^{|}~-]+)*@([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z][a-z0-9-]*[a-z0-9]$"
+
+
 def email(value: Column, *, drop_tag: bool = True) -> Column:
     """The inbox an address reaches, lower case and without delivery tag, or null if the value is not exactly one complete address."""
-    text = F.lower(clean(value))
-    one = F.length(text) - F.length(F.replace(text, F.lit("@"), F.lit(""))) == 1
-    inner = F.when(text.rlike(r"<[^<>]*@[^<>]*>"), F.regexp_extract(text, r"<([^<>]*)>", 1)).otherwise(text)
-    bare = _unwrap(F.regexp_replace(_unwrap(inner), r"^(mailto|e-?mail|mail)\s*:\s*", ""))
-    shape = bare.rlike(r"^[a-z0-9_!#$%&'*+/=?^{|}~-]+(\.[a-z0-9_!#$%&'*+/=?^{|}~-]+)*@([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z][a-z0-9-]*[a-z0-9]$")
-    local = F.regexp_replace(F.substring_index(bare, "@", 1), r"\+.*$", "")
-    domain = F.substring_index(bare, "@", -1)
-    words = F.regexp_replace(local, r"[^a-z0-9]", "")
-    real = (words != "") & ~is_filler(words)
-    return F.when(one & shape & real, F.concat(local if drop_tag else F.substring_index(bare, "@", 1), F.lit("@"), domain))
+
+    def finish(bare: Column) -> Column:
+        written = F.substring_index(bare, "@", 1)
+        local = F.substring_index(written, "+", 1)
+        words = F.regexp_replace(local, r"[^a-z0-9]", "")
+        return F.when(bare.rlike(_ADDRESS) & (words != "") & ~is_filler(words), F.concat(local if drop_tag else written, F.lit("@"), F.substring_index(bare, "@", -1)))
+
+    def strip(text: Column) -> Column:
+        inner = F.when(text.contains("<"), F.coalesce(F.nullif(F.regexp_extract(text, r"<([^<>]*@[^<>]*)>", 1), F.lit("")), text)).otherwise(text)
+        bare = _unwrap(F.regexp_replace(_unwrap(inner), r"^(mailto|e-?mail|mail)\s*:\s*", ""))
+        # nothing to strip where the text is an address already
+        return F.when(text.contains("@") & (F.locate("@", F.substring_index(text, "@", -1)) == 0) & (F.substring_index(text, "@", 2) == text), F.when(text.rlike(_ADDRESS), text).otherwise(bare))
+
+    return let(F.lower(clean(value)), lambda text: let(strip(text), finish))
 
 
 def person_name(value: Column) -> Column:
     """"first last" in lower case, or null if the value is not a first and last name."""
-    text = _unwrap(clean(value))
-    turned = F.regexp_replace(text, r"^([^,]+?) ?, ?([^,]+)$", "$2 $1")
-    words = F.split(F.lower(turned), " ")
-    shape = turned.rlike(r"^\p{L}[\p{L}\p{M}'’.-]*\p{L}( \p{L}[\p{L}\p{M}'’.-]*)* \p{L}[\p{L}\p{M}'’.-]*\p{L}\.?$")
-    return F.when(shape & ~F.forall(words, is_filler), F.lower(turned))
+    shape = r"^\p{L}[\p{L}\p{M}'’.-]*\p{L}( \p{L}[\p{L}\p{M}'’.-]*)* \p{L}[\p{L}\p{M}'’.-]*\p{L}\.?$"
+
+    def finish(turned: Column) -> Column:
+        return F.when(turned.rlike(shape) & ~F.forall(F.split(turned, " "), is_filler), turned)
+
+    def turn(text: Column) -> Column:
+        return F.when(text.contains(","), F.regexp_replace(text, r"^([^,]+?) ?, ?([^,]+)$", "$2 $1")).otherwise(text)
+
+    return let(F.lower(_unwrap(clean(value))), lambda text: let(turn(text), finish))
 
 
 def phone(value: Column) -> Column:
     """National digits, or null if the value is not one number with enough digits that someone may have."""
+
+    def number(text: Column) -> Column:
+        digits = F.regexp_replace(text, r"\D", "")
+        return F.when(text.rlike(r"^\+?[\d\s()./-]+$"), digits)
+
+    def finish(digits: Column) -> Column:
+        national = F.substring(digits, -NATIONAL_DIGITS, NATIONAL_DIGITS)
+        filler = national.rlike(r"^(\d)\1*$") | F.lit(_RISING).contains(digits) | F.lit(_FALLING).contains(digits) | F.lit(_RISING).contains(national) | F.lit(_FALLING).contains(national)
+        return F.when(F.length(digits).between(NATIONAL_DIGITS, 15) & ~filler, national)
+
     text = F.regexp_replace(F.lower(clean(value)), r"^(tel|telephone|phone|fon|telefon|mobile|mob|cell|t|p|ph)\s*[.:]+\s*", "")
-    digits = F.regexp_replace(text, r"\D", "")
-    national = F.substring(digits, -NATIONAL_DIGITS, NATIONAL_DIGITS)
-    shape = text.rlike(r"^\+?[\d\s()./-]+$") & F.length(digits).between(NATIONAL_DIGITS, 15)
-    filler = national.rlike(r"^(\d)\1*$") | F.lit(_RISING).contains(digits) | F.lit(_FALLING).contains(digits) | F.lit(_RISING).contains(national) | F.lit(_FALLING).contains(national)
-    return F.when(shape & ~filler, national)
+    return let(text, lambda t: let(number(t), finish))

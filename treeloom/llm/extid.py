@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from treeloom.llm.contact import clean
+from treeloom.llm.contact import clean, let
 
 #: Widths of the two digit blocks of an identifier written without separators.
 BLOCKS = (4, 5)
@@ -18,14 +18,19 @@ def ext_id_texts(value: Column) -> Column:
     the right one: in the first writing unless the slip hit a leading zero, then
     in the second.
     """
-    text = F.lower(clean(value))
-    dashed = F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "-"), r"^-+|-+$", "")
-    joined = F.regexp_replace(dashed, rf"^([a-z]{{3}})(\d{{{BLOCKS[0]}}})(\d+x?)$", "$1-$2-$3")
-    parts = F.split(joined, "-")
-    bare = F.concat_ws("-", F.transform(parts, lambda p: F.regexp_replace(p, r"^0+(?=[0-9])", "")))
-    pad = lambda p, i: F.when(i == 0, p).otherwise(F.lpad(p, F.greatest(F.length(p), F.when(i == 1, BLOCKS[0]).otherwise(BLOCKS[1])), "0"))
-    padded = F.concat_ws("-", F.transform(F.split(bare, "-"), pad))
-    return F.when(dashed != "", F.array_distinct(F.array(bare, padded)))
+    def pad(part: Column, i: Column) -> Column:
+        width = F.when(i == 1, BLOCKS[0]).otherwise(BLOCKS[1])
+        return F.when(i == 0, part).otherwise(F.lpad(part, F.greatest(F.length(part), width), "0"))
+
+    def writings(parts: Column) -> Column:
+        return F.array_distinct(F.array(F.concat_ws("-", parts), F.concat_ws("-", F.transform(parts, pad))))
+
+    def blocks(dashed: Column) -> Column:
+        joined = F.when(dashed.contains("-"), dashed).otherwise(F.regexp_replace(dashed, rf"^([a-z]{{3}})(\d{{{BLOCKS[0]}}})(\d+x?)$", "$1-$2-$3"))
+        return F.when(dashed != "", F.split(F.regexp_replace(joined, r"(?<=^|-)0+(?=[0-9])", ""), "-"))
+
+    dashed = F.regexp_replace(F.regexp_replace(F.lower(clean(value)), r"[^\p{L}\p{N}]+", "-"), r"^-+|-+$", "")
+    return let(dashed, lambda d: let(blocks(d), lambda parts: F.when(parts.isNotNull(), writings(parts))))
 
 
 def content(payload: Column) -> Column:

@@ -3,39 +3,45 @@
 A ``History`` is a folder of append-only tables. Every record that can be
 identified has a *node*, the hash of its canonical text: literal repeats share it.
 Near repeats are two texts one keying slip apart whose records also agree in some
-value. For these, each (text, agreeing value) is persisted under minwise band keys
-with its signature, partitioned by a hash of the key. A new batch computes its own
-keys, probes only the matching buckets, verifies similarity, appends links between
-nodes and then its own keys. The accepted history is never compared with itself
-again.
+value. For these, each (agreeing value, text) is persisted with its minwise band
+keys and signature, partitioned by the value's hash, since only texts under one
+value can be repeats. A new batch computes its own keys, probes only the matching
+buckets, verifies similarity, appends links between nodes and then its own keys.
+The accepted history is never compared with itself again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeloom.llm.components import connected_components
-from treeloom.llm.slips import deletions, minwise, one_slip
-from treeloom.runtime import drop_path, materialize, path_exists, scratch_path
+from treeloom.llm.slips import band_keys, deletions, minwise, one_slip, signatures
+from treeloom.runtime import materialize, partitions_of, path_exists, scratch_path
 
 
 class History:
     """Accepted records of one table.
 
     bands: minwise values, each a band of its own. Two texts of n characters one
-    slip apart share at least n-2 of n+4 character pairs, so a pair escapes all
-    bands with probability below (6 / (n + 4)) ** bands.
-    buckets: hash partitions of the persisted keys.
+    slip apart are alike by (n - 1) / (n + 1) or more, so a pair escapes all bands
+    with probability (2 / (n + 1)) ** bands at most.
+    buckets: hash partitions of the persisted entries.
     hot: a band key with more entries than this is not paired up; its entries meet
     under hashes of their one-character deletions instead, which is exact too.
+    broadcast_rows: a batch's keys are broadcast to the history's partitions up to
+    this many rows (8 bytes each), so that history is filtered where it lies;
+    beyond it both sides are shuffled.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, *, bands: int = 6, buckets: int = 32, hot: int = 40):
+    def __init__(self, spark: SparkSession, path: str | None = None, *, bands: int = 4, buckets: int = 16, hot: int = 40, broadcast_rows: int = 2_000_000):
         self.spark, self.path = spark, path or scratch_path(spark, "history")
-        self.bands, self.buckets, self.hot = bands, buckets, hot
+        self.bands, self.buckets, self.hot, self.broadcast_rows = bands, buckets, hot, broadcast_rows
 
     def _read(self, name: str, schema: str) -> DataFrame:
         path = f"{self.path}/{name}"
@@ -46,7 +52,7 @@ class History:
     @property
     def rows(self) -> DataFrame:
         """(batch, key, node) of every identified record."""
-        return self._read("rows", "batch int, key bigint, node bigint")
+        return self._read("rows", "key bigint, node bigint, batch int")
 
     @property
     def links(self) -> DataFrame:
@@ -55,44 +61,46 @@ class History:
 
     @property
     def keys(self) -> DataFrame:
-        return self._read("keys", "band bigint, agree bigint, node bigint, text string, signature bigint, bucket int")
-
-    def _band_rows(self, entries: DataFrame) -> DataFrame:
-        """Band keys with signatures: the low byte of each minwise value, eight to a word."""
-        signed = entries.withColumn("mins", minwise(F.col("text"), self.bands))
-        low = [F.shiftleft(F.element_at("mins", i + 1).bitwiseAND(F.lit(255)), 8 * i) for i in range(min(self.bands, 8))]
-        signature = reduce(Column.bitwiseOR, low)
-        keyed = signed.select("agree", "node", "text", signature.alias("signature"), F.posexplode("mins").alias("i", "low"))
-        return keyed.select(F.xxhash64("i", "low", "agree").alias("band"), "agree", "node", "text", "signature").withColumn("bucket", F.pmod("band", F.lit(self.buckets)).cast("int"))
+        return self._read("keys", "agree bigint, node bigint, text string, bands array<bigint>, signature bigint, batch int, bucket int")
 
     def accept(self, batch: DataFrame, number: int) -> None:
         """Check one batch against the history and add it.
 
-        batch(key, texts array<string>, agree array<string>): texts are a record's
+        batch(key, texts array<string>, agree array<bigint>): texts are a record's
         canonical writings, the first its identity; a record with none denotes
-        nothing and is left out. Null elements of either array are ignored.
+        nothing and is left out. agree has hashes of what near repeats must agree
+        in. Null elements of either array are ignored.
         """
-        known = batch.select("key", F.filter("texts", lambda t: t.isNotNull()).alias("texts"), F.filter("agree", lambda t: t.isNotNull()).alias("agree"))
-        known = known.where(F.size("texts") > 0).withColumn("node", F.xxhash64(F.element_at("texts", 1)))
-        known.select(F.lit(number).alias("batch"), "key", "node").write.mode("append").parquet(f"{self.path}/rows")
-        entries = known.select("node", "texts", F.explode("agree").alias("value")).select("node", F.xxhash64("value").alias("agree"), F.explode("texts").alias("text")).distinct()
-        path = scratch_path(self.spark, "batch-keys")
-        self._band_rows(entries).write.parquet(path)
-        new = self.spark.read.parquet(path)
-        buckets = [r[0] for r in new.select("bucket").distinct().collect()]  # at most self.buckets numbers
-        if buckets:
-            self._link(new, buckets).write.mode("append").parquet(f"{self.path}/links")
-            # one task a bucket, so that a batch adds one file to each
-            new.repartition(self.buckets, "bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/keys")
-        drop_path(self.spark, path)
-
-    def _link(self, new: DataFrame, buckets: list[int]) -> DataFrame:
-        columns = ["band", "agree", "node", "text", "signature"]
-        old = self.keys.where(F.col("bucket").isin(buckets)).select(*columns)
-        matching = old.join(new.select("band").distinct(), "band", "left_semi").select(*columns, F.lit(False).alias("new"))
-        met = matching.unionByName(new.select(*columns, F.lit(True).alias("new")))
-        size = met.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1 AND lo <> hi").select("band", "n")
-        met = materialize(met.join(size, "band"), "met")
+        known = batch.where(F.exists("texts", lambda t: t.isNotNull())).withColumn("texts", F.array_compact("texts")).withColumn("node", F.xxhash64(F.element_at("texts", 1)))
+        known.select("key", "node", F.lit(number).alias("batch")).write.mode("append").partitionBy("batch").parquet(f"{self.path}/rows")
+        entries = known.select("node", "texts", F.explode("agree").alias("agree")).where("agree IS NOT NULL").select("node", "agree", F.explode("texts").alias("text"))
+        # one shuffle brings repeats together and each bucket to one task, so that a batch adds an entry once and a file a bucket
+        placed = entries.withColumn("bucket", F.pmod("agree", F.lit(self.buckets)).cast("int")).repartition(self.buckets, "bucket").distinct()
+        banded = placed.mapInArrow(_bander(self.bands), "agree bigint, node bigint, text string, bands array<bigint>, signature bigint, bucket int")
+        banded.withColumn("batch", F.lit(number)).write.mode("append").partitionBy("batch", "bucket").parquet(f"{self.path}/keys")
+        keys = self.keys
+        new = keys.where(F.col("batch") == number)
+        sizes = {r[0]: r[1] for r in new.groupBy("bucket").count().collect()}  # at most self.buckets rows
+        if sizes:
+            earlier = [n for n in partitions_of(self.spark, f"{self.path}/keys") if n != f"batch={number}"]
+            old = keys.where((F.col("batch") != number) & F.col("bucket").isin(list(sizes))) if earlier else None
+            self._link(new, old, sum(sizes.values()) <= self.broadcast_rows).write.mode("append").parquet(f"{self.path}/links")
+
+    def _link(self, new: DataFrame, old: DataFrame | None, small: bool) -> DataFrame:
+        columns = ["agree", "node", "text", "bands", "signature"]
+        met = new.select(*columns, F.lit(True).alias("new"))
+        if old is not None:
+            probes = new.select("agree").distinct()
+            matching = old.join(F.broadcast(probes) if small else probes, "agree", "left_semi")
+            met = matching.select(*columns, F.lit(False).alias("new")).unionByName(met)
+        # only values that different nodes share matter; they are few, and texts are not shuffled to find them
+        shared = met.groupBy("agree").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("agree")
+        shared = materialize(shared, "shared")
+        shared = F.broadcast(shared) if shared.count() <= self.broadcast_rows else shared
+        banded = met.join(shared, "agree", "left_semi").withColumn("band", F.explode("bands")).drop("bands")
+        bucket = Window.partitionBy("band")
+        banded = banded.withColumns({"n": F.count(F.lit(1)).over(bucket), "lo": F.min("node").over(bucket), "hi": F.max("node").over(bucket)})
+        met = materialize(banded.where("lo <> hi").drop("lo", "hi"), "met")
         cold = met.where(F.col("n") <= self.hot)
         hot = met.where(F.col("n") > self.hot).select("agree", "node", "text", "signature", "new").distinct().withColumn("band", F.explode(deletions(F.col("text"))))
         pairs = [self._pairs(cold, ["band", "agree"]), self._pairs(hot, ["band", "agree"])]
@@ -121,7 +129,22 @@ class History:
         return later.select(F.least("key", "first.key").alias("key_a"), F.greatest("key", "first.key").alias("key_b")).distinct()
 
 
-def deduplicate(batches: DataFrame, *, batch: str, key: str, texts: Column, agree: Column, bands: int = 6, path: str | None = None) -> History:
+def _bander(bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            mins = minwise(batch.column("text").to_pylist(), bands)
+            keys = band_keys(mins, batch.column("agree").to_numpy())
+            listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("agree", "node", "text")), listed, pa.array(signatures(mins)), batch.column("bucket")], names=["agree", "node", "text", "bands", "signature", "bucket"]
+            )
+
+    return run
+
+
+def deduplicate(batches: DataFrame, *, batch: str, key: str, texts: Column, agree: Column, bands: int = 4, path: str | None = None) -> History:
     """Feed a table to a new history, batch by batch in the order of ``batch``.
 
     Rows without batch number count as history (batch 0). An empty table leaves an
@@ -129,7 +152,9 @@ def deduplicate(batches: DataFrame, *, batch: str, key: str, texts: Column, agre
     """
     spark = batches.sparkSession
     history = History(spark, path, bands=bands)
-    prepared = materialize(batches.select(F.coalesce(F.col(batch).cast("int"), F.lit(0)).alias("batch"), F.col(key).cast("long").alias("key"), texts.alias("texts"), agree.alias("agree")), "prepared")
+    hashed = F.transform(agree, lambda a: F.when(a.isNotNull(), F.xxhash64(a)))
+    columns = [F.col(key).cast("long").alias("key"), texts.alias("texts"), hashed.alias("agree"), F.coalesce(F.col(batch).cast("int"), F.lit(0)).alias("batch")]
+    prepared = materialize(batches.select(*columns), "prepared", partition_by=["batch"])
     numbers = sorted(r[0] for r in prepared.select("batch").distinct().collect())
     for n in numbers:
         history.accept(prepared.where(F.col("batch") == n).drop("batch"), n)

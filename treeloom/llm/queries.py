@@ -45,10 +45,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         key="rec_id",
         texts=F.array(contact.email(F.col("email"))),
         agree=F.array(F.concat(F.lit("phone "), phone), F.concat(F.lit("name "), name)),
-        bands=6,
+        bands=4,
     )
     events = deduplicate(
-        table(spark, sf_dir, "events_77"), batch="batch_no", key="id", texts=F.coalesce(ext_id_texts(F.col("ext_id")), F.array(F.lit(None).cast("string"))), agree=F.array(content(F.col("payload"))), bands=10
+        table(spark, sf_dir, "events_77"), batch="batch_no", key="id", texts=F.coalesce(ext_id_texts(F.col("ext_id")), F.array(F.lit(None).cast("string"))), agree=F.array(content(F.col("payload"))), bands=5
     )
     return users.repeats().select(F.lit("users_77").alias("table_name"), "key_a", "key_b").unionByName(events.repeats().select(F.lit("events_77").alias("table_name"), "key_a", "key_b"))
 

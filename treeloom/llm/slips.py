@@ -5,24 +5,58 @@ A slip is one character wrong, missing or too many, or two neighbours swapped.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def grams(text: Column) -> Column:
-    """Hashes of the character pairs of a text with both ends marked."""
-    padded = F.concat(F.lit("\u0002"), text, F.lit("\u0003"))
-    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.xxhash64(F.substring(padded, i, F.lit(2))))
+def minwise(texts: list[str], size: int) -> np.ndarray:
+    """``size`` minwise values of each text, over its characters numbered by occurrence.
 
+    A swap leaves this set as it is, and any other slip changes one element or
+    two, so texts of n characters one slip apart are alike by (n - 1) / (n + 1) or more.
+    """
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    out = np.full((len(texts), size), np.iinfo(np.int64).max, np.int64)
+    if not len(codes):
+        return out
+    of = np.repeat(np.arange(len(texts)), lengths)
+    order = np.lexsort((codes, of))
+    c, o = codes[order], of[order]
+    first = np.r_[True, (c[1:] != c[:-1]) | (o[1:] != o[:-1])]
+    start = np.flatnonzero(first)
+    nth = np.arange(len(c)) - np.repeat(start, np.diff(np.r_[start, len(c)]))
+    element = c * np.uint64(1 << 20) + nth.astype(np.uint64)
+    filled = np.flatnonzero(lengths)
+    heads = np.r_[0, np.cumsum(lengths[filled])[:-1]]
+    for seed in range(size):
+        out[filled, seed] = np.minimum.reduceat(_mix(element + np.uint64(seed + 1) * _STEP), heads).view(np.int64)
+    return out
 
-def minwise(text: Column, size: int) -> Column:
-    """``size`` minwise values of the text's character pairs."""
-    hashed = grams(text)
 
-    def lowest(seed: int) -> Column:
-        return F.array_min(F.transform(hashed, lambda h: F.xxhash64(h, F.lit(seed))))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
-    return F.array(*(lowest(i) for i in range(size)))
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64, a permutation of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def band_keys(mins: np.ndarray, agree: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each minwise value, its place and the agreeing value."""
+    place = np.arange(1, mins.shape[1] + 1, dtype=np.uint64) * _STEP
+    return _mix(_mix(mins.view(np.uint64) + place[None, :]) + agree.astype(np.int64).view(np.uint64)[:, None]).view(np.int64)
+
+
+def signatures(mins: np.ndarray) -> np.ndarray:
+    """The low bytes of the first eight minwise values in one word."""
+    out = np.zeros(len(mins), np.uint64)
+    for i in range(min(8, mins.shape[1])):
+        out |= (mins[:, i].view(np.uint64) & np.uint64(255)) << np.uint64(8 * i)
+    return out.view(np.int64)
 
 
 def deletions(text: Column) -> Column:
