@@ -63,6 +63,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+
+
 def partitions_of(spark: SparkSession, path: str) -> list[str]:
     """Names of the partition folders right below a table's folder."""
     jvm = spark.sparkContext._jvm
