@@ -81,7 +81,7 @@ def bind(child: Table, parent: Table, link: Link) -> Table:
     rows = parent_rows(parent, right, names, parent.unique_on == frozenset(link.by.values()), chunked, link.attr)
     # children without a key match nothing; a salt keeps them from meeting in one task
     nothing = reduce(Column.__or__, [k.isNull() for k in left])
-    salt = F.when(nothing, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in child.columns if not _unhashable(child.types[c]))), F.lit(1024)) + 1).otherwise(F.lit(0).cast("bigint"))
+    salt = F.when(nothing, F.pmod(F.xxhash64(F.lit(0), *(_hashable(child, c) for c in child.columns)), F.lit(1024)) + 1).otherwise(F.lit(0).cast("bigint"))
     frame = child.frame.withColumns({f"__c{i}": k for i, k in enumerate(left)} | {"__salt": salt})
     on = [F.col(f"__c{i}") == F.col(n) for i, n in enumerate(names)] + [F.col("__salt") == F.col("__psalt")]
     if chunked:
@@ -94,6 +94,13 @@ def bind(child: Table, parent: Table, link: Link) -> Table:
     return Table(**{**child.__dict__, "frame": frame, "columns": [*columns, *link.fk, link.attr], "types": {c: frame.schema[c].dataType for c in frame.columns}})
 
 
+def _hashable(table: Table, column: str) -> Column:
+    col, dtype = F.col(f"`{column}`"), table.types[column]
+    if isinstance(dtype, T.VariantType):
+        return F.to_json(col)
+    return F.lit(0) if _unhashable(dtype) else col
+
+
 def _unhashable(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.MapType, T.VariantType)) or isinstance(dtype, T.ArrayType) and _unhashable(dtype.elementType) or isinstance(dtype, T.StructType) and any(_unhashable(f.dataType) for f in dtype.fields)
 
