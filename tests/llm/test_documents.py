@@ -1,0 +1,166 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from treeloom.llm.features import document_features, hilbert_keys, project, token_counts
+from treeloom.llm.mixing import Cell, exact_budget, mix, rake, source_totals
+from treeloom.llm.packing import Packer, fill, pack, pieces
+from treeloom.llm.truncation import aligned_cut, rates, read_units, truncated
+
+
+def test_hilbert_neighbours_are_adjacent():
+    side = 8
+    grid = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
+    keys = hilbert_keys(grid, 3)
+    assert sorted(keys) == list(range(side**3))
+    path = grid[np.argsort(keys)]
+    assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_features_of_odd_texts(spark):
+    docs = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, " \n"), (5, "wort " * 200_000), (None, "x"), (1, "hello world"), (6, "<|endoftext|>")], "doc_id bigint, text string").withColumns({"curve": F.lit("clash"), "tokens": F.lit("clash")})
+    got = document_features(docs).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 1, 1, 4, 5, 6]
+    assert {r.tokens for r in got if r.doc_id == 1} == {2} and next(r.tokens for r in got if r.doc_id == 5) >= 200_000
+    assert token_counts(["<|endoftext|>"])[0] > 1
+    assert np.isfinite(project(["", "a b", "..."])).all()
+
+
+def test_packer_never_overfills():
+    rng = np.random.default_rng(2)
+    packer, used = Packer(100, keep=5), {}
+    for size in rng.integers(1, 101, 3000):
+        n = packer.place(int(size))
+        used[n] = used.get(n, 0) + int(size)
+        packer.trim()
+    assert max(used.values()) <= 100
+    assert pieces(250, 100) == [(0, 0, 100), (1, 100, 100), (2, 200, 50)] and pieces(100, 100) == [(0, 0, 100)]
+
+
+def test_packing_keeps_every_token_once(spark):
+    rng = np.random.default_rng(3)
+    sizes = [int(s) for s in rng.integers(0, 400, 3000)]
+    features = spark.createDataFrame([(i, s, int(rng.integers(0, 1 << 30))) for i, s in enumerate(sizes)] + [(None, 5, 5), (0, sizes[0] or 1, 7)], "doc_id bigint, tokens bigint, curve bigint").withColumn("pid", F.lit("clash"))
+    specs = spark.createDataFrame([("s", 64), ("l", 512), ("bad", 0), (None, 5), ("s", 64)], "spec_name string, capacity_tokens int")
+    packed = pack(features, specs, block=500, partitions=3)
+    rows = packed.collect()
+    total = sum(sizes) + 5 + (sizes[0] or 1)
+    for name, cap in (("s", 64), ("l", 512)):
+        own = [r for r in rows if r.spec_name == name]
+        assert sum(r.tokens for r in own) == total
+        load = {}
+        for r in own:
+            load[r.container_id] = load.get(r.container_id, 0) + r.tokens
+        assert max(load.values()) <= cap
+        assert all(sizes[r.doc_id] > cap for r in own if r.piece_no > 0)
+        assert total / (len(load) * cap) > 0.97
+    assert {r.spec_name for r in rows} == {"s", "l"}
+    assert {r.spec_name: r.tokens for r in fill(packed, specs).collect()} == {"s": total, "l": total}
+    assert pack(features, specs.limit(0)).count() == 0 and pack(features.limit(0), specs).count() == 0
+
+
+def test_raking_meets_sources_and_caps():
+    cells = [Cell(s, lang, t, tokens) for s, lang, t, tokens in [("a", "en", 0, 100.0), ("a", "de", 1, 50.0), ("b", "en", 0, 10.0), ("b", "de", 1, 20.0)]]
+    cap = {"a": 1, "b": 4}
+    share = {"a": 0.6, "b": 0.4}
+    have = {"a": 150.0, "b": 30.0}
+    totals = source_totals(have, share, cap, 180.0)
+    assert totals == {"a": pytest.approx(108), "b": pytest.approx(72)}
+    weight = rake(cells, totals, cap)
+    assert weight[:2].sum() == pytest.approx(108) and weight[2:].sum() == pytest.approx(72)
+    assert (weight <= np.array([c.tokens * cap[c.source] for c in cells]) + 1e-9).all()
+    assert exact_budget(have, share, cap) == pytest.approx(250)
+    assert exact_budget({}, share, cap) == 0
+
+
+def test_mix_reaches_shares(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, ("Big ", "mid", "tiny")[int(rng.choice(3, p=[0.7, 0.27, 0.03]))], ("en", "de", None, "xx")[i % 4], i % 5, int(rng.integers(1, 300))) for i in range(6000)]
+    rows += [(9000, None, "en", 0, 10), (9001, "other", "en", 0, 10), (9002, "mid", "en", 0, 0), (None, "mid", "en", 0, 9)]
+    features = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, topic int, tokens bigint").withColumn("bucket", F.lit("clash"))
+    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("tiny", 0.1, 2), ("gone", 0.1, 3)], "source string, target_share double, repeat_cap int")
+    chosen, shares = mix(features, targets)
+    got = {r.source: r for r in shares.collect()}
+    cap = {"big": 1, "mid": 2, "tiny": 2}
+    assert all(r.copies <= cap[r.source] for r in chosen.collect())
+    budget = sum(r.available_tokens for r in got.values())
+    assert got["big"].tokens == pytest.approx(0.5 * budget, rel=0.01) and got["mid"].tokens == pytest.approx(0.3 * budget, rel=0.01)
+    assert got["tiny"].tokens == 2 * got["tiny"].available_tokens and got["gone"].tokens == 0
+    assert sum(r.actual_share for r in got.values()) == pytest.approx(1)
+    exact = {r.source: r for r in mix(features, targets.where("source <> 'gone'"), budget="exact")[1].collect()}
+    assert all(r.actual_share == pytest.approx(r.target_share, abs=0.01) for r in exact.values())
+    assert mix(features.limit(0), targets)[0].count() == 0 and mix(features, targets.limit(0))[1].count() == 0
+
+
+CUT = [
+    "A first one. The second is going on and th\ufffd",
+    "Text with code:\n\n```python\nfor x in y:\n    print(x)",
+    "See <a href=\"http://x.example/a/12345\">he",
+    "<pre><code>f(1)</code></pr",
+    "One thing (see the other",
+    "Escaped half\\u00",
+    "Entity half &quo",
+    "It stops in here … (leer más)",
+    "Then it [...]",
+]
+WHOLE = [
+    "A sentence. Another one!",
+    "Code:\n\n```\nrun\n```",
+    "All is good :)",
+    "See [this](http://x.example/a/12345)",
+    "<pre><code>f(1)</code></pre>",
+    "He said \"[...] and so on.\" I agree.",
+    "A sentence ends. [...]",
+]
+
+
+def test_endings_that_need_no_counts():
+    assert [read_units(t)[1] for t in CUT] == ["cut"] * len(CUT)
+    assert [read_units(t)[1] for t in WHOLE] == ["closed"] * len(WHOLE)
+    for t in ("", " ", "\n", "```", "....", "x" * 1_000_000, "(" * 5000):
+        read_units(t)
+
+
+def test_alignment():
+    words = [f"word{i}" for i in range(60)]
+    long = " ".join(words) + ". The end."
+    assert aligned_cut(" ".join(words[:55]), long) == "cut"
+    assert aligned_cut(" ".join(words[:54]) + " word5", long) == "cut"
+    assert aligned_cut(" ".join(words) + ".", long) == "end"
+    assert aligned_cut("nothing like it at all here", long) == "" and aligned_cut("", long) == ""
+
+
+def corpus(spark):
+    nouns = ["table", "index", "cache", "buffer", "record", "filter"]
+    texts = []
+    for i in range(240):
+        a, b = nouns[i % 6], nouns[(i * 7 + 1) % 6]
+        texts.append(f"You have to open the {a} before you close the {b} {i}. If the {b} is gone, nothing happens to the {a}.")
+        if i % 3 == 0:
+            texts.append(f"see the {a} page")
+        if i % 4 == 0:
+            texts.append("Hm, no idea then...")
+        if i % 5 == 0:
+            texts.append(f"Steps:\n\n1. open the {a}\n2. close the {b}")
+    return texts
+
+
+def test_truncated_by_counts_over_all_documents(spark):
+    whole = corpus(spark)
+    cut = ["You have to open the table before you close the", "You have to open the ind", "Steps:\n\n1. open the table\n2. close the", "If the cache is gone, nothing happens to", "If the buffer..."]
+    rows = [(i, t, "Src " if i % 2 else "src") for i, t in enumerate(whole)] + [(10_000 + i, t, None) for i, t in enumerate(cut)]
+    rows += [(20_000, None, None), (20_001, "", None), (20_002, " \u00a0\n", None), (None, "Fine.", None), (0, whole[0], "src")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({"score": F.lit("clash"), "kind": F.lit(1), "band": F.lit(2)})
+    found = truncated(docs)
+    assert {r.doc_id for r in found.where("is_cut").collect()} == {10_000 + i for i in range(len(cut))}
+    assert found.count() == len(whole) + len(cut) + 1
+    rate = {r.source: (r.texts, r.cut) for r in rates(docs, found).collect()}
+    assert set(rate) == {"src", None} and rate[None][1] == len(cut) and rate["src"][1] == 0
+    assert truncated(docs.limit(0)).count() == 0
+
+
+def test_longer_near_copy_shows_the_cut(spark):
+    words = " ".join(f"w{i % 37}x{i}" for i in range(80))
+    rows = [(1, words + " tail goes on and ends here."), (2, words + " tail"), (3, "Another text that is whole.")]
+    found = {r.doc_id: r for r in truncated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[2].aligned == "cut" and found[2].is_cut and not found[1].is_cut and not found[3].is_cut

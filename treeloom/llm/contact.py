@@ -49,7 +49,8 @@ def is_filler(words: Column) -> Column:
     return words.isin(*FILLER)
 
 
-_ADDRESS = r"^[a-z0-9_!#$%&'*+/=?^{|}~-]+(\.[a-z0-9_!#$%&'*+/=?^{|}~-]+)*@([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z][a-z0-9-]*[a-z0-9]$"
+_ATOM = r"[a-z0-9_!#$%&'*+/=?^{|}~-]++"
+_ADDRESS = rf"^{_ATOM}(\.{_ATOM})*+@([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z][a-z0-9-]*[a-z0-9]$"
 
 
 def email(value: Column, *, drop_tag: bool = True) -> Column:
@@ -64,8 +65,9 @@ def email(value: Column, *, drop_tag: bool = True) -> Column:
     def strip(text: Column) -> Column:
         inner = F.when(text.contains("<"), F.coalesce(F.nullif(F.regexp_extract(text, r"<([^<>]*@[^<>]*)>", 1), F.lit("")), text)).otherwise(text)
         bare = _unwrap(F.regexp_replace(_unwrap(inner), r"^(mailto|e-?mail|mail)\s*:\s*", ""))
-        # nothing to strip where the text is an address already
-        return F.when(text.contains("@") & (F.locate("@", F.substring_index(text, "@", -1)) == 0) & (F.substring_index(text, "@", 2) == text), F.when(text.rlike(_ADDRESS), text).otherwise(bare))
+        one = text.contains("@") & (F.substring_index(text, "@", 2) == text)
+        # nothing to strip where the text begins and ends as an address does
+        return F.when(one, F.when(text.rlike(r"^[a-z0-9][^<:\s]*[a-z0-9]$"), text).otherwise(bare))
 
     return let(F.lower(clean(value)), lambda text: let(strip(text), finish))
 

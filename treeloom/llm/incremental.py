@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from treeloom.llm.components import connected_components
 from treeloom.llm.slips import band_keys, deletions, minwise, one_slip, signatures
-from treeloom.runtime import materialize, partitions_of, path_exists, scratch_path
+from treeloom.runtime import make_folder, materialize, partitions_of, path_exists, scratch_path
 
 
 class History:
@@ -31,7 +31,8 @@ class History:
     bands: minwise values, each a band of its own. Two texts of n characters one
     slip apart are alike by (n - 1) / (n + 1) or more, so a pair escapes all bands
     with probability (2 / (n + 1)) ** bands at most.
-    buckets: hash partitions of the persisted entries.
+    buckets: hash partitions of the persisted entries, by default as many as a shuffle
+    has; a history that is opened again keeps its number.
     hot: a band key with more entries than this is not paired up; its entries meet
     under hashes of their one-character deletions instead, which is exact too.
     broadcast_rows: a batch's keys are broadcast to the history's partitions up to
@@ -39,9 +40,13 @@ class History:
     beyond it both sides are shuffled.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, *, bands: int = 4, buckets: int = 16, hot: int = 40, broadcast_rows: int = 2_000_000):
+    def __init__(self, spark: SparkSession, path: str | None = None, *, bands: int = 4, buckets: int | None = None, hot: int = 40, broadcast_rows: int = 2_000_000):
         self.spark, self.path = spark, path or scratch_path(spark, "history")
-        self.bands, self.buckets, self.hot, self.broadcast_rows = bands, buckets, hot, broadcast_rows
+        self.bands, self.hot, self.broadcast_rows = bands, hot, broadcast_rows
+        kept = partitions_of(spark, f"{self.path}/layout") if path_exists(spark, f"{self.path}/layout") else []
+        self.buckets = int(kept[0].partition("=")[2]) if kept else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if not kept:
+            make_folder(spark, f"{self.path}/layout/buckets={self.buckets}")
 
     def _read(self, name: str, schema: str) -> DataFrame:
         path = f"{self.path}/{name}"

@@ -31,11 +31,11 @@ def minwise(texts: list[str], size: int) -> np.ndarray:
     filled = np.flatnonzero(lengths)
     heads = np.r_[0, np.cumsum(lengths[filled])[:-1]]
     for seed in range(size):
-        out[filled, seed] = np.minimum.reduceat(_mix(element + np.uint64(seed + 1) * _STEP), heads).view(np.int64)
+        out[filled, seed] = np.minimum.reduceat(_mix(element + np.uint64((seed + 1) * _STEP & _ALL)), heads).view(np.int64)
     return out
 
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,7 +47,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def band_keys(mins: np.ndarray, agree: np.ndarray) -> np.ndarray:
     """One 64-bit key for each minwise value, its place and the agreeing value."""
-    place = np.arange(1, mins.shape[1] + 1, dtype=np.uint64) * _STEP
+    place = np.arange(1, mins.shape[1] + 1, dtype=np.uint64) * np.uint64(_STEP)
     return _mix(_mix(mins.view(np.uint64) + place[None, :]) + agree.astype(np.int64).view(np.uint64)[:, None]).view(np.int64)
 
 
