@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.runtime import materialize
+
 #: Fields that mark an object as one record; an object without any of them whose values are all objects is keyed by id.
 RECORD_FIELDS = frozenset(
     "id user_id name title profile stats labels attachments sections archive users posts replies meta lang badges size views by_day label".split()
@@ -195,7 +197,8 @@ def users_and_posts(docs: DataFrame, *, doc_id: str = "raw_no", body: str = "bod
     """
     containers = {"users": "user", "posts": "post", "replies": "post"}
     nodes = shred(docs, doc_id=doc_id, body=body, containers=containers, scalars=["id", "user_id", "name", "title"])
-    found = entities(nodes, ["id", "user_id", "name", "title"], ["user"])
+    # kept as a table, so that bodies are read and parsed once for both sides of the link
+    found = materialize(entities(nodes, ["id", "user_id", "name", "title"], ["user"]), "entities")
     found = found.withColumn("own_id", F.coalesce(_id("id"), _id("map_key")))
     users = found.where("entity = 'user'").select("src", "digest", "object", F.col("own_id").alias("user_id"), "name")
     posts = found.where("entity = 'post'").select("src", "digest", "object", "parent", "own_id", "title", _id("user_id").alias("named"), "in_user")
