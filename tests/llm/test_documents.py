@@ -164,3 +164,11 @@ def test_longer_near_copy_shows_the_cut(spark):
     rows = [(1, words + " tail goes on and ends here."), (2, words + " tail"), (3, "Another text that is whole.")]
     found = {r.doc_id: r for r in truncated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert found[2].aligned == "cut" and found[2].is_cut and not found[1].is_cut and not found[3].is_cut
+
+
+def test_many_copies_with_one_beginning(spark):
+    words = " ".join(f"w{i % 41}y{i}" for i in range(80))
+    rows = [(i, words + f" and then variant {'abcdefghij'[i % 10]}{i} comes to its end.") for i in range(60)] + [(100, words + " and then var"), (101, words + " and then … (leer más)")]
+    found = {r.doc_id: r for r in truncated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[100].aligned == "cut" and found[101].aligned == "cut"
+    assert not any(found[i].is_cut for i in range(60))
