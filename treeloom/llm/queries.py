@@ -13,10 +13,13 @@ from treeloom.llm.features import document_features
 from treeloom.llm.incremental import deduplicate
 from treeloom.llm.mixing import mix
 from treeloom.llm.packing import fill, pack
+from treeloom.llm.sql import SQL
 from treeloom.llm.survivors import survivors
 from treeloom.llm.truncation import rates, truncated
 from treeloom.runtime import table
 
+__all__ = ["QUERIES", "SQL"]
+
 #: How far the feeds of users_77 are trusted in p1_survivors; others count as 1.
 FEED_TRUST = {"crm_push": 1.0, "web_form": 0.9, "till_sync": 0.8, "partner_csv": 0.7, "legacy_dump": 0.5}
 
@@ -99,6 +102,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_shares_exact": p7_shares_exact,
     "p8_found": p8_found,
     "p8_rates": p8_rates,
-}
-
-SQL: dict[str, str] = {}
+}
\ No newline at end of file
