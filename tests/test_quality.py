@@ -84,9 +84,10 @@ def test_very_deep_and_long_bodies(spark):
     deep = '{"users":[{"id":"u","x":' * 150 + '{"posts":[{"id":"p"}]}' + "}]}" * 150
     long = json.dumps({"users": [{"id": "u", "name": "n" * 300_000, "posts": [{"id": i} for i in range(20_000)]}]})
     too_deep = "[" * 200_000
-    docs = spark.createDataFrame([(1, deep), (2, long), (3, too_deep)], "raw_no bigint, body string")
+    half = '{"users":[{"id":"u\\ud800","posts":[{"id":"\\ud83d\\ude00"}]}]}'
+    docs = spark.createDataFrame([(1, deep), (2, long), (3, too_deep), (4, half)], "raw_no bigint, body string")
     counts = {r.raw_no: r["count"] for r in post_links(docs).groupBy("raw_no").count().collect()}
-    assert counts == {1: 1, 2: 20_000}
+    assert counts == {1: 1, 2: 20_000, 4: 1}
 
 
 def test_adjacency_round_trip(spark):

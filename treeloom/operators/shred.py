@@ -37,6 +37,16 @@ def parse(text: str):
     return json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_constant)
 
 
+def _writable(text: str | None) -> str | None:
+    """The text with halves of characters, which JSON can escape and UTF-8 cannot hold, replaced."""
+    try:
+        if text is not None:
+            text.encode()
+        return text
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def _inner(value: str):
     """JSON text of an object or list inside a field, else the text itself."""
     head = value.lstrip()[:1]
@@ -128,7 +138,7 @@ def _shredder(containers: dict[str, str], keep: frozenset[str] | None, record_fi
                     if keep is not None and entity is None and (label not in keep or kind not in ("string", "number", "boolean")):
                         continue
                     at = dict(scopes)
-                    rows.append((src, digest, node, parent, label, ordinal, kind, scalar, entity, map_key, *(at.get(e) for e in entities)))
+                    rows.append((src, digest, node, parent, _writable(label), ordinal, kind, _writable(scalar), entity, _writable(map_key), *(at.get(e) for e in entities)))
                 if len(rows) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                     rows = []
