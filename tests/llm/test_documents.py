@@ -23,6 +23,9 @@ def test_features_of_odd_texts(spark):
     assert sorted((r.doc_id or 0) for r in got) == [0, 1, 1, 4, 5, 6]
     assert {r.tokens for r in got if r.doc_id == 1} == {2} and next(r.tokens for r in got if r.doc_id == 5) >= 200_000
     assert token_counts(["<|endoftext|>"])[0] > 1
+    odd = ["x" * 5000, " " * 5000, "a" + " " * 5000 + "b", "a  b\n\n\nc\t d", "é漢字 ñ don't I'll 12345 ---", "\u200b\ufeff", "🙂🙂 x", "\n", "a \n"]
+    assert token_counts(odd) == token_counts(odd, "/opt/tokenizers/byte_bpe_50k.json")
+    assert token_counts([" " * 1_000_000, "a" + " " * 1_000_000 + "b", "x" * 1_000_000])[0] > 0
     assert np.isfinite(project(["", "a b", "..."])).all()
 
 

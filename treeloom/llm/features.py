@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -13,7 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Where the public tokenizers' files are, and the one used unless another path is given.
-TOKENIZER = os.environ.get("TREELOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+TOKENIZER = os.environ.get("TREELOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+#: Fixed value: how the 50k byte-level vocabularies split text before they merge bytes, in the form that never backtracks far.
+SPLIT_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 DIMENSIONS = 3
 BITS = 10
@@ -23,18 +27,44 @@ TOPIC_BITS = 4
 _WORD = re.compile(r"\w+")
 
 
+_LONG_GAP = re.compile(r"(?<![^\S\x1c-\x1f])[^\S\x1c-\x1f]{1000,}+(?=[\S\x1c-\x1f])")
+
+
+def _parts(text: str) -> Iterator[str]:
+    """The text cut where the split pattern cuts it anyway: around long white space, of which the last character goes with what follows."""
+    start = 0
+    for gap in _LONG_GAP.finditer(text):
+        yield text[start : gap.start()]
+        yield text[gap.start() : gap.end() - 1]
+        start = gap.end() - 1
+    yield text[start:]
+
+
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _counter(path: str) -> Callable[[list[str]], list[int]]:
+    """Counts tokens by a vocabulary file: .tiktoken ranks, a .json tokenizer, or a .model of pieces."""
+    if path.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        ranked = tiktoken.Encoding("ranks", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [sum(len(ranked.encode_ordinary(part)) for part in _parts(t)) for t in texts]
+    if path.endswith(".model"):
+        import sentencepiece
+
+        pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: [len(ids) for ids in pieces.encode(texts, num_threads=1)]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return t
+    return lambda texts: [len(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def token_counts(texts: list[str], path: str = TOKENIZER) -> list[int]:
-    return [len(e.ids) for e in _tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+    return _counter(path)(texts)
 
 
 @lru_cache(maxsize=1)
