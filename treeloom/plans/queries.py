@@ -376,7 +376,7 @@ def stream_parity(spark: SparkSession, d: str) -> DataFrame:
 
 def _upsert(spark: SparkSession, d: str, strategy) -> DataFrame:
     events = table(spark, d, "events")
-    middle = events.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    middle = events.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY event_id)")).first()[0]
     sink = MemorySink()
     for part in (events.where(F.col("event_id") <= middle), events.where(F.col("event_id") > middle)):
         p = stream(from_rows(part, order_by="event_id").docs.select("__doc.*", "__at"), flush_strategy=strategy)
