@@ -175,3 +175,16 @@ def test_many_copies_with_one_beginning(spark):
     found = {r.doc_id: r for r in truncated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert found[100].aligned == "cut" and found[101].aligned == "cut"
     assert not any(found[i].is_cut for i in range(60))
+
+
+def test_cut_copies_of_a_large_bucket_that_differ_before_the_cut(spark):
+    words = [f"w{i % 41}y{i}" for i in range(80)]
+    shared = " ".join(words)
+    rows = [(i, f"{shared} and then variant {'abcdefghij'[i % 10]}{i} comes to its end.") for i in range(60)]
+    other = words[:20] + ["changed"] + words[21:]
+    rows += [(100, " ".join(other) + " and then var"), (101, shared.replace("w5y5 ", "W5Y5  ") + " and then")]
+    # the next text in order has the same body, and the one after goes on for too long to be a near-copy
+    rows += [(102, shared + " with more of"), (103, shared + " with more of [more]"), (104, shared + " with more of it " + " ".join(f"z{i}" for i in range(60)) + "."), (105, shared + " with more of these zebras here.")]
+    found = {r.doc_id: r for r in truncated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [found[i].aligned for i in (100, 101, 102, 103)] == ["cut"] * 4
+    assert not any(found[i].is_cut for i in [*range(60), 104, 105])

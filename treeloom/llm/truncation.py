@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.runtime import materialize
@@ -29,7 +29,6 @@ MARKERS = ("…", "[...]", "[…]", "(...)", "(…)", "[sigue]", "(leer más)",
 SENTENCE_END = ".?!。！？"
 
 _MARKER = re.compile(r"(?:\s*(?:" + "|".join(re.escape(m) for m in sorted(MARKERS, key=len, reverse=True)) + r"))+$", re.IGNORECASE)
-_JAVA_MARKER = r"(?iu)(?:\s*(?:" + "|".join(rf"\Q{m}\E" for m in sorted(MARKERS, key=len, reverse=True)) + r"))+\s*$"
 _END = re.compile(r"""[.?!。！？](?:["'”’»)\]*_]*)$""")
 _SPLIT = re.compile(r"""(?<=[.?!。！？])["'”’»)\]]*\s+""")
 _LIST = re.compile(r"^\s*(?:\d+[.)]|[-*+•])\s+")
@@ -431,13 +430,127 @@ def _line_break_after(text: str, words: list[str], index: int) -> bool:
     return True
 
 
+_RUNS = "rep bigint, run bigint, next string, core int, goes_on boolean, shingles int, chars bigint"
+
+
+def _runs(size: int):
+    """(rep, run, next, core, goes_on, shingles, chars): each three words in a row of a text, by hash, and the word after them.
+
+    core is the length of the next word without sentence marks and quotes;
+    goes_on tells whether its sentence and line go on after it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("rep", pa.int64()), ("run", pa.int64()), ("next", pa.string()), ("core", pa.int32()), ("goes_on", pa.bool_()), ("shingles", pa.int32()), ("chars", pa.int64())])
+        for batch in batches:
+            rows: list[tuple] = []
+            for rep, text in zip(batch.column("rep").to_pylist(), batch.column("text").to_pylist()):
+                body = strip_marker(text)[0]
+                shingles, found = len(_shingle_hashes(body, size)), set()
+                words = body.split()
+                last_of_line = set(np.cumsum([len(line.split()) for line in text.split("\n")]) - 1)
+                for i in range(len(words) - 3):
+                    word = words[i + 3]
+                    goes_on = i + 4 < len(words) and not _END.search(word) and i + 3 not in last_of_line
+                    found.add((_run_hash(words[i : i + 3]), word, goes_on))
+                rows.extend((rep, h, w, len(w.rstrip(SENTENCE_END + "\"'")), g, shingles, len(text)) for h, w, g in found)
+                if len(rows) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def _run_hash(words: list[str]) -> int:
+    return _hash64(" ".join(words)) - (1 << 63)
+
+
+def _last_run(size: int):
+    """(rep, run, last, shingles, chars): the three words before a text's last one, by hash, and the last one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("rep", pa.int64()), ("run", pa.int64()), ("last", pa.string()), ("shingles", pa.int32()), ("chars", pa.int64())])
+        for batch in batches:
+            rows = []
+            for rep, text in zip(batch.column("rep").to_pylist(), batch.column("text").to_pylist()):
+                body = strip_marker(text)[0]
+                words = body.split()
+                if len(words) >= 4:
+                    rows.append((rep, _run_hash(words[-4:-1]), words[-1], len(_shingle_hashes(body, size)), len(text)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def _seek(size: int, threshold: float):
+    """(rep, aligned) of the texts that wait in a group and are cut by one of the longer texts that come after them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, waiting = None, []
+        for batch in batches:
+            done = []
+            for key, rep, whole, chars, shingles, text in zip(*(batch.column(c).to_pylist() for c in ("grp", "rep", "is_whole", "chars", "shingles", "text"))):
+                if key != group:
+                    group, waiting = key, []
+                if not whole:
+                    waiting.append((rep, chars, shingles, text))
+                    continue
+                left = []
+                for x in waiting:
+                    fits = x[1] < chars and min(x[2], shingles) >= threshold * max(x[2], shingles)
+                    if fits and aligned_cut(x[3], text, size, threshold) == "cut":
+                        done.append(x[0])
+                    else:
+                        left.append(x)
+                waiting = left
+            yield pa.RecordBatch.from_pydict({"rep": pa.array(done, pa.int64()), "aligned": pa.array(["cut"] * len(done), pa.string())})
+
+    return run
+
+
+def cut_by_index(texts: DataFrame, shingle: int, threshold: float, *, room: int = 500, starts: int = 64, salts: int = 16) -> DataFrame:
+    """(rep, aligned) of the texts(rep, text) that a longer near-copy among them shows to be cut, however many there are.
+
+    A text's last four words are looked up among all runs of four words, the last
+    word as the beginning of one, where the sentence goes on. Neither the order nor
+    the beginning of the texts matters. First only words meet, then texts: about
+    ``room`` of one ending wait in a group while the longer ones pass by, shortest
+    first, so a group's memory is bounded and a text waits for its first proof only.
+    Of last words over ``starts`` characters the beginning finds the run.
+    """
+    endings = materialize(texts.mapInArrow(_last_run(shingle), "rep bigint, run bigint, last string, shingles int, chars bigint"), "endings")
+    endings = endings.withColumn("start", F.substring("last", 1, starts))
+    salted = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    wanted = endings.groupBy("run").agg(F.collect_set(F.length("start")).alias("lengths")).select("run", "lengths", salted.alias("salt"))
+    runs = texts.mapInArrow(_runs(shingle), _RUNS).withColumn("salt", F.pmod(F.hash("rep"), F.lit(salts)))
+    begun = F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("next")), lambda n: F.substring(F.col("next"), F.lit(1), n)))
+    met = materialize(runs.join(wanted, ["run", "salt"]).select("rep", "run", "next", "core", "goes_on", "shingles", "chars", begun.alias("start")), "runs")
+    # an ending that no text goes on with leaves here, before any texts are paired
+    x, y = endings.select("run", "start", "last").distinct().alias("x"), met.select("run", "start", "next", "core", "goes_on").distinct().alias("y")
+    goes_on = F.col("y.next").startswith(F.col("x.last")) & ((F.col("y.core") > F.length("x.last")) | ((F.col("y.next") == F.col("x.last")) & F.col("y.goes_on")))
+    same = (F.col("x.run") == F.col("y.run")) & (F.col("x.start") == F.col("y.start"))
+    proofs = materialize(x.join(y, same & goes_on).select("x.run", "last", "next", "goes_on"), "proofs")
+    open_endings = endings.join(proofs.select("run", "last").distinct(), ["run", "last"])
+    groups = open_endings.groupBy("run", "last").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("parts"))
+    grp = F.xxhash64("run", "last", "part").alias("grp")
+    waiting = open_endings.join(groups, ["run", "last"]).withColumn("part", F.pmod(F.hash("rep"), F.col("parts"))).select(grp, "rep", F.lit(False).alias("is_whole"), "chars", "shingles")
+    carriers = met.select("run", "next", "goes_on", "rep", "chars", "shingles").distinct().join(proofs, ["run", "next", "goes_on"]).select("run", "last", "rep", "chars", "shingles").distinct()
+    passing = carriers.join(groups, ["run", "last"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(grp, "rep", F.lit(True).alias("is_whole"), "chars", "shingles")
+    rows = waiting.unionByName(passing).join(texts.select("rep", "text"), "rep")
+    ordered = rows.repartition("grp").sortWithinPartitions("grp", "is_whole", "chars")
+    return ordered.mapInArrow(_seek(shingle, threshold), "rep bigint, aligned string")
+
+
 def near_copy_endings(texts: DataFrame, *, bands: int = 9, rows: int = 5, shingle: int = 5, threshold: float = 0.8, small: int = 32) -> DataFrame:
     """(doc_id, aligned): "cut" or "end" for documents with a longer near-copy, by the text's hash.
 
     Exact copies meet as one text. A bucket of up to ``small`` texts compares each
-    with the longer ones. Of a larger one, texts with the same beginning are put
-    in order, in which a text that is the beginning of others stands right before
-    the first of them, and each is compared with the next.
+    with the longer ones. Texts of larger ones are looked up by their endings
+    (``cut_by_index``), which finds every cut; an "end", which decides nothing, is
+    not looked for there.
     """
     reps = texts.select("doc_id", F.xxhash64("text").alias("rep"), "text")
     distinct = materialize(reps.groupBy("rep").agg(F.first("text").alias("text")), "texts")
@@ -445,18 +558,13 @@ def near_copy_endings(texts: DataFrame, *, bands: int = 9, rows: int = 5, shingl
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = banded.join(sizes, "band")
     cold = met.where(F.col("n") <= small).select("band", "rep", "chars")
-    body = F.regexp_replace("text", _JAVA_MARKER, "")
-    head = distinct.select("rep", body.alias("body"), F.xxhash64(F.substring("text", 1, 120)).alias("head"))
-    hot = met.where(F.col("n") > small).select("rep").distinct().join(head, "rep")
-    # in the order of the texts themselves the next one after a cut copy is one that goes on where it ends
-    along = Window.partitionBy("head").orderBy("body", "rep")
-    chained = hot.select("rep", F.lead("rep").over(along).alias("other")).where("other IS NOT NULL")
+    hot = materialize(met.where(F.col("n") > small).select("rep").distinct().join(distinct, "rep"), "hot")
     x, y = cold.alias("x"), cold.alias("y")
     longer = (F.col("x.chars") < F.col("y.chars")) & (F.col("x.band") == F.col("y.band"))
-    pairs = x.join(y, longer).select(F.col("x.rep").alias("rep"), F.col("y.rep").alias("other")).unionByName(chained).distinct()
+    pairs = x.join(y, longer).select(F.col("x.rep").alias("rep"), F.col("y.rep").alias("other")).distinct()
     both = pairs.join(distinct, "rep").join(distinct.select(F.col("rep").alias("other"), F.col("text").alias("whole")), "other")
     judged = both.select("rep", _align(shingle, threshold)(F.col("text"), F.col("whole")).alias("aligned")).where("aligned <> ''")
-    verdict = judged.groupBy("rep").agg(F.min("aligned").alias("aligned"))
+    verdict = judged.unionByName(cut_by_index(hot, shingle, threshold)).groupBy("rep").agg(F.min("aligned").alias("aligned"))
     return reps.select("doc_id", "rep").join(verdict, "rep").select("doc_id", "aligned")
 
 
