@@ -188,3 +188,13 @@ def test_cut_copies_of_a_large_bucket_that_differ_before_the_cut(spark):
     found = {r.doc_id: r for r in truncated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert [found[i].aligned for i in (100, 101, 102, 103)] == ["cut"] * 4
     assert not any(found[i].is_cut for i in [*range(60), 104, 105])
+
+
+def test_cut_copies_of_a_large_bucket_with_another_or_a_short_beginning(spark):
+    words = [f"w{i}q" for i in range(22)]
+    rows = [(i, " ".join(words) + f" so {'abcdefghij'[i % 10]}{i}.") for i in range(60)]
+    rows += [(100, " ".join(words[:20])), (101, "W0Q  " + " ".join(words[1:21]))]
+    assert len(rows[-2][1]) < 120
+    found = {r.doc_id: r for r in truncated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[100].aligned == "cut" and found[101].aligned == "cut"
+    assert not any(found[i].is_cut for i in range(60))
