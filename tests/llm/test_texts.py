@@ -198,3 +198,13 @@ def test_cut_copies_of_a_large_bucket_with_another_or_a_short_beginning(spark):
     found = {r.doc_id: r for r in truncated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert found[100].aligned == "cut" and found[101].aligned == "cut"
     assert not any(found[i].is_cut for i in range(60))
+
+
+def test_copies_of_a_cut_text_are_no_evidence_for_each_other(spark):
+    cut = ["The reader goes through it slowly. Zebra quokka wombat runs towards glimmering fjords", "It starts like this:\n\n    first(1)\n    second(frobnicate", "He has asked for it before. Quagga yonder went away..."]
+    verdicts = []
+    for copies in (1, 10):
+        rows = list(enumerate(corpus(spark))) + [(10_000 + 100 * k + c, t) for k, t in enumerate(cut) for c in range(copies)]
+        found = truncated(spark.createDataFrame(rows, "doc_id bigint, text string")).where("doc_id >= 10000").collect()
+        verdicts.append({(r.doc_id // 100, r.is_cut, round(r.score, 9)) for r in found})
+    assert verdicts[0] == verdicts[1] and len(verdicts[0]) == 3

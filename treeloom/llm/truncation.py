@@ -182,13 +182,13 @@ _COUNTS = pa.schema([("stat", pa.string()), ("key", pa.string()), ("n", pa.int64
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts (stat, key, n, hits) of all units, added up within each batch before they are shuffled.
 
-    A text's last unit counts like any other, links apart: a document's own part is
-    taken off again when it is scored.
+    A text's last unit counts like any other, links apart: a text's own part is
+    taken off again when it is scored. Each text counts ``times`` times.
     """
     for batch in batches:
         n: Counter = Counter()
         hits: Counter = Counter()
-        for text in batch.column("text").to_pylist():
+        for text, times in zip(batch.column("text").to_pylist(), batch.column("times").to_pylist()):
             units = read_units(text)[0]
             for i, u in enumerate(units):
                 bare = u.end == "bare"
@@ -196,8 +196,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if u.kind == "url" and i == len(units) - 1:
                     continue
                 for stat, key, hit in _stats(u, bare):
-                    n[stat, key] += 1
-                    hits[stat, key] += hit
+                    n[stat, key] += times
+                    hits[stat, key] += hit * times
         if n:
             yield pa.RecordBatch.from_pydict({"stat": [k[0] for k in n], "key": [k[1] for k in n], "n": list(n.values()), "hits": [hits[k] for k in n]}, schema=_COUNTS)
 
@@ -229,9 +229,10 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         hits: Counter = Counter()
         written: Counter = Counter()
-        for text in batch.column("text").to_pylist():
+        for text, times in zip(batch.column("text").to_pylist(), batch.column("times").to_pylist()):
             body, _ = strip_marker(text)
-            written.update(body.split())
+            for w in body.split():
+                written[w] += times
             for line in body.split("\n"):
                 if "```" in line or _INDENTED.match(line):
                     continue
@@ -242,12 +243,12 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     stat, pair = ("in list", "pair list") if listed else ("in bare", "pair bare")
                     ws = [_key(w) for w in piece.split()]
                     for i, w in enumerate(ws):
-                        n[stat, w] += 1
-                        hits[stat, w] += i == len(ws) - 1
+                        n[stat, w] += times
+                        hits[stat, w] += times * (i == len(ws) - 1)
                         if i:
                             both = ws[i - 1] + " " + w
-                            n[pair, both] += 1
-                            hits[pair, both] += i == len(ws) - 1
+                            n[pair, both] += times
+                            hits[pair, both] += times * (i == len(ws) - 1)
         for w, count in written.items():  # each different word is normalised once a batch
             n["word", _bare_word(w)] += count
         if n:
@@ -258,18 +259,18 @@ def _bare_word(word: str) -> str:
     return _key(word.strip(SENTENCE_END + ",;:()[]\"'`"))
 
 
-ENDINGS = "doc_id bigint, verdict string, kind string, stat string, key string"
+ENDINGS = "rep bigint, verdict string, kind string, stat string, key string"
 
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, verdict, kind, stat, key): the counts each ending needs; one row with null stat where the verdict stands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("verdict", pa.string()), ("kind", pa.string()), ("stat", pa.string()), ("key", pa.string())])
+    """(rep, verdict, kind, stat, key): the counts each ending needs; one row with null stat where the verdict stands."""
+    schema = pa.schema([("rep", pa.int64()), ("verdict", pa.string()), ("kind", pa.string()), ("stat", pa.string()), ("key", pa.string())])
     for batch in batches:
         rows = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        for rep, text in zip(batch.column("rep").to_pylist(), batch.column("text").to_pylist()):
             units, verdict = read_units(text, ending_only=True)
             if verdict != "bare":
-                rows.append((doc, verdict, "", None, None))
+                rows.append((rep, verdict, "", None, None))
                 continue
             u = units[-1]
             if u.kind == "code":
@@ -286,16 +287,16 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             need += [("word", word), ("longer word", word)]
             if u.kind == "list":
                 need += [("longer in list", u.close)]
-            rows.extend((doc, verdict, "dots" if u.end == "dots" else "inline" if u.inline and u.kind == "text" else u.kind, s, k) for s, k in need)
+            rows.extend((rep, verdict, "dots" if u.end == "dots" else "inline" if u.inline and u.kind == "text" else u.kind, s, k) for s, k in need)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
-    """(stat, key, n, hits) over all texts; "longer ..": how often words occur that go on after the key."""
+    """(stat, key, n, hits) over all texts(text, times); "longer ..": how often words occur that go on after the key."""
     schema = "stat string, key string, n bigint, hits bigint"
-    units = texts.select("text").mapInArrow(_counts, schema)
-    words = texts.select("text").mapInArrow(_words, schema)
+    units = texts.select("text", "times").mapInArrow(_counts, schema)
+    words = texts.select("text", "times").mapInArrow(_words, schema)
     total = units.unionByName(words).groupBy("stat", "key").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     total = materialize(total, "terminality")
     prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda i: F.substring("key", F.lit(1), i)))
@@ -304,19 +305,25 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
     return total.unionByName(longer.select("stat", "key", "n", F.lit(0).cast("bigint").alias("hits")))
 
 
-def terminality(texts: DataFrame, *, support: int = 4) -> DataFrame:
+def terminality(texts: DataFrame, *, support: int = 4, phrase: int = 5) -> DataFrame:
     """(doc_id, verdict, score): score is the share of like endings that are ends, 0 cut to 1 closed.
 
     support: fewer other cases than this leave a count undecided, and the next coarser one decides.
+    Exact copies of a text are one case, so that they are no evidence for each other. Only a text of
+    at most ``phrase`` words counts each time: it is too short to be a copy and written anew.
     """
-    counts = corpus_counts(texts)
-    need = texts.select("doc_id", "text").mapInArrow(_endings, ENDINGS)
+    reps = texts.select("doc_id", F.xxhash64("text").alias("rep"), "text")
+    distinct = reps.groupBy("rep").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    short = F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ")) <= phrase
+    distinct = materialize(distinct.select("rep", "text", F.when(short, F.col("copies")).otherwise(F.lit(1)).cast("bigint").alias("times")), "counted")
+    counts = corpus_counts(distinct)
+    need = distinct.select("rep", "text").mapInArrow(_endings, ENDINGS)
     joined = need.join(counts, ["stat", "key"], "left")
     stat = lambda s, c: F.max(F.when(F.col("stat") == s, F.coalesce(F.col(c), F.lit(0))))
     names = ["close code", "close url", "url", "in list", "pair list", "form list", "list", "dots2", "dots1", "open2", "open1", "in bare", "pair bare", "form bare", "bare1", "word", "longer word", "longer in list"]
-    wide = joined.groupBy("doc_id", "verdict", "kind").agg(*(stat(s, c).alias(f"{s} {c}") for s in names for c in ("n", "hits")))
+    wide = joined.groupBy("rep", "verdict", "kind").agg(*(stat(s, c).alias(f"{s} {c}") for s in names for c in ("n", "hits")))
     col = lambda s, c="n": F.coalesce(F.col(f"`{s} {c}`"), F.lit(0))
-    # shares without the document's own ending, which is in every count once, as a hit
+    # shares without the text's own ending, which is in every count once, as a hit
     share = lambda s: (col(s, "hits") - 1) / (col(s) - 1)
     enough = lambda s: col(s) - 1 >= support
     of = lambda s, whole: F.when(col(whole) - 1 >= support, (col(s) - 1) / (col(whole) - 1)).otherwise(F.lit(0.0))
@@ -341,7 +348,8 @@ def terminality(texts: DataFrame, *, support: int = 4) -> DataFrame:
         .when(F.col("kind") == "dots", dotted)
         .otherwise(F.sqrt(opening * F.least(closing, F.lit(1.0))))
     )
-    return wide.select("doc_id", "verdict", F.least(score, F.lit(1.0)).cast("double").alias("score"))
+    scored = wide.select("rep", "verdict", F.least(score, F.lit(1.0)).cast("double").alias("score"))
+    return reps.select("doc_id", "rep").join(scored, "rep").select("doc_id", "verdict", "score")
 
 
 # --- near-copies -----------------------------------------------------------------------------------------------------
