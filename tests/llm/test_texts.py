@@ -208,3 +208,13 @@ def test_copies_of_a_cut_text_are_no_evidence_for_each_other(spark):
         found = truncated(spark.createDataFrame(rows, "doc_id bigint, text string")).where("doc_id >= 10000").collect()
         verdicts.append({(r.doc_id // 100, r.is_cut, round(r.score, 9)) for r in found})
     assert verdicts[0] == verdicts[1] and len(verdicts[0]) == 3
+
+
+def test_unfinished_tag_that_began_far_back():
+    data = "data:image/png;base64," + "iVBORw0KGgo" * 60
+    cut = [f'See <img src="{data}', f"See <a class='x' title=\"{'word ' * 90}", f'See <img alt="a" src="{data}" wid', f"See <img src={data}"]
+    assert [read_units(t)[1] for t in cut] == ["cut"] * 4
+    prose = " and it goes on with words" * 30 + "."
+    assert [read_units(t + prose)[1] for t in ("If a <b then", "for (i = 0; i <n; i++) x = 1;")] == ["closed"] * 2
+    read_units("<a" + " b=c" * 100_000 + " <")
+    read_units("<a" + " b" * 100_000)

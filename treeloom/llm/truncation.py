@@ -37,6 +37,9 @@ _URL = re.compile(r"(?:https?|ftp)://\S*$")
 _ENTITY = re.compile(r"&(?:#?\w{0,9})$")
 _ESCAPE = re.compile(r"\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$")
 _TAGS = re.compile(r"<(/?)(pre|code|a|b|i|em|strong|blockquote|p|div|span|ul|ol|li)\b[^<>]*>", re.IGNORECASE)
+_OPEN_TAG = re.compile(r"<[/a-zA-Z][^<>]*$")
+# one that began far back must read as a tag with attributes throughout, as prose and code also hold a lone <
+_LONG_TAG = re.compile(r"""<[a-zA-Z][\w:-]*(?:\s+[\w:@.-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))*\s*(?:[\w:@.-]+\s*(?:=\s*(?:"[^"]*|'[^']*)?)?)?$""")
 _INDENTED = re.compile(r"^(?: {4}|\t)\S")
 _DIGITS = re.compile(r"\d")
 _DOTS = re.compile(r"(?<!\.)\.\.\.$")
@@ -149,7 +152,9 @@ def read_units(text: str, ending_only: bool = False) -> tuple[list[Unit], str]:
             opened += -1 if m[1] else 1
     if fenced or bare_tail.endswith(("�", "``")) and not bare_tail.endswith("```") or bare_tail == "`":
         return units, "cut"
-    if opened > 0 or re.search(r"<[/a-zA-Z][^<>]*$", body[-300:]) or bare_tail.endswith("<"):
+    at = body.rfind("<")
+    unfinished = at >= 0 and (_OPEN_TAG if len(body) - at <= 300 else _LONG_TAG).match(body, at)
+    if opened > 0 or unfinished or bare_tail.endswith("<"):
         return units, "cut"
     if _ESCAPE.search(bare_tail) or _ENTITY.search(bare_tail):
         return units, "cut"
