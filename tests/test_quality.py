@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treeloom.operators.keyload import dominant_keys, per_key_counts
 from treeloom.operators.orphans import orphan_references, orphan_report
-from treeloom.operators.shred import parse, post_links, shred, users_and_posts
+from treeloom.operators.shred import _parse_deep, parse, post_links, shred, users_and_posts
 
 DAY = dt.timedelta(days=1)
 START = dt.datetime(2024, 1, 1)
@@ -127,3 +127,25 @@ def test_dominant_keys_at_the_threshold(spark):
     assert {r.key for r in dominant_keys(counts, 0.02).collect()} == {"a", "b", "c"}
     assert {r.key for r in dominant_keys(counts, 0.0201).collect()} == {"a", "c"}
     assert dominant_keys(counts.limit(0), 0.02).count() == 0
+
+
+def test_bodies_nested_deeper_than_the_parser_recurses(spark):
+    deep = 20_000
+    body = '{"users": [{"id": "u", "posts": [{"id": "p"}], "meta": ' + '{"a": [' * deep + "1.50" + "]}" * deep + "}]}"
+    docs = spark.createDataFrame([(1, body), (2, body[:-1]), (3, '{"users": [{"id": 7, "posts": [{"id": 1}]}]}')], "raw_no bigint, body string")
+    assert sorted(map(tuple, post_links(docs).collect())) == [(1, "u", "p"), (3, "7", "1")]
+    rng, good = random.Random(1), '{"a": [1, -2.5e3, null, true, {"b": "x\\u00e9\\"", "b": {}}, []], "c": false, "": "\\ud800"}'
+    texts = ["", " ", "[1,]", '{"a":1,}', "[NaN]", "-Infinity", "[01]", "[1] 2", '"\t"', "﻿[]", " [ ] ", "1", good]
+    for _ in range(3000):
+        i = rng.randrange(len(good))
+        texts.append(good[:i] + rng.choice(["", '"', "]", "}", ",", ":", "1", " ", "{"]) + good[i + rng.randrange(2) :])
+    for text in texts:
+        try:
+            want = repr(parse(text))
+        except ValueError:
+            want = "invalid"
+        try:
+            got = repr(_parse_deep(text))
+        except ValueError:
+            got = "invalid"
+        assert got == want, text

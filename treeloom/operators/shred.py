@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from json.decoder import WHITESPACE, scanstring
+from json.scanner import NUMBER_RE
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +35,78 @@ def _constant(name: str):
 
 
 def parse(text: str):
-    """Strict JSON; numbers keep their text, so that ids compare as written."""
-    return json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_constant)
+    """Strict JSON of any depth; numbers keep their text, so that ids compare as written."""
+    try:
+        return json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_constant)
+    except RecursionError:
+        return _parse_deep(text)
+
+
+def _skip(text: str, at: int) -> int:
+    return WHITESPACE.match(text, at).end()
+
+
+def _deep_key(text: str, at: int) -> tuple[str, int]:
+    """A key and where its value begins."""
+    if text[at : at + 1] != '"':
+        raise ValueError(f"no key at {at}")
+    key, at = scanstring(text, at + 1, True)
+    at = _skip(text, at)
+    if text[at : at + 1] != ":":
+        raise ValueError(f"no colon at {at}")
+    return key, _skip(text, at + 1)
+
+
+def _parse_deep(text: str):
+    """The same without recursion, for what is nested too deeply for ``json.loads``."""
+    holders: list[tuple[dict | list, str | None]] = []
+    at = _skip(text, 0)
+    while True:
+        c = text[at : at + 1]
+        if c == "{" or c == "[":
+            value = {} if c == "{" else []
+            at = _skip(text, at + 1)
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                key = None
+                if c == "{":
+                    key, at = _deep_key(text, at)
+                holders.append((value, key))
+                continue
+            at += 1
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        else:
+            for word, value in (("null", None), ("true", True), ("false", False)):
+                if text.startswith(word, at):
+                    at += len(word)
+                    break
+            else:
+                number = NUMBER_RE.match(text, at)
+                if number is None:
+                    raise ValueError(f"no value at {at}")
+                value, at = _Number(number[0]), number.end()
+        while holders:
+            holder, key = holders[-1]
+            if key is None:
+                holder.append(value)
+            else:
+                holder[key] = value
+            at = _skip(text, at)
+            c = text[at : at + 1]
+            if c == ",":
+                at = _skip(text, at + 1)
+                if key is not None:
+                    key, at = _deep_key(text, at)
+                    holders[-1] = holder, key
+                break
+            if c != ("]" if key is None else "}"):
+                raise ValueError(f"no end or comma at {at}")
+            holders.pop()
+            value, at = holder, at + 1
+        else:
+            if _skip(text, at) != len(text):
+                raise ValueError(f"more text at {at}")
+            return value
 
 
 def _writable(text: str | None) -> str | None:
@@ -53,7 +125,7 @@ def _inner(value: str):
     if head in "{[" and head:
         try:
             return parse(value)
-        except (ValueError, RecursionError):
+        except ValueError:
             return value
     return value
 
@@ -132,7 +204,7 @@ def _shredder(containers: dict[str, str], keep: frozenset[str] | None, record_fi
             for src, digest, body in zip(*(batch.column(c).to_pylist() for c in ("src", "digest", "body"))):
                 try:
                     doc = parse(body)
-                except (ValueError, RecursionError):
+                except ValueError:
                     continue
                 for node, parent, label, ordinal, kind, scalar, entity, map_key, scopes in walk(doc, containers, record_fields):
                     if keep is not None and entity is None and (label not in keep or kind not in ("string", "number", "boolean")):
