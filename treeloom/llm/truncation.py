@@ -560,10 +560,10 @@ def cut_by_index(texts: DataFrame, shingle: int, threshold: float, *, room: int
 def near_copy_endings(texts: DataFrame, *, bands: int = 9, rows: int = 5, shingle: int = 5, threshold: float = 0.8, small: int = 32) -> DataFrame:
     """(doc_id, aligned): "cut" or "end" for documents with a longer near-copy, by the text's hash.
 
-    Exact copies meet as one text. A bucket of up to ``small`` texts compares each
-    with the longer ones. Texts of larger ones are looked up by their endings
-    (``cut_by_index``), which finds every cut; an "end", which decides nothing, is
-    not looked for there.
+    Exact copies meet as one text. All texts are looked up by their endings
+    (``cut_by_index``), which finds every cut. An "end", which decides nothing, is
+    only looked for in band buckets of up to ``small`` texts: each is compared with
+    the longer ones.
     """
     reps = texts.select("doc_id", F.xxhash64("text").alias("rep"), "text")
     distinct = materialize(reps.groupBy("rep").agg(F.first("text").alias("text")), "texts")
@@ -571,13 +571,12 @@ def near_copy_endings(texts: DataFrame, *, bands: int = 9, rows: int = 5, shingl
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = banded.join(sizes, "band")
     cold = met.where(F.col("n") <= small).select("band", "rep", "chars")
-    hot = materialize(met.where(F.col("n") > small).select("rep").distinct().join(distinct, "rep"), "hot")
     x, y = cold.alias("x"), cold.alias("y")
     longer = (F.col("x.chars") < F.col("y.chars")) & (F.col("x.band") == F.col("y.band"))
     pairs = x.join(y, longer).select(F.col("x.rep").alias("rep"), F.col("y.rep").alias("other")).distinct()
     both = pairs.join(distinct, "rep").join(distinct.select(F.col("rep").alias("other"), F.col("text").alias("whole")), "other")
     judged = both.select("rep", _align(shingle, threshold)(F.col("text"), F.col("whole")).alias("aligned")).where("aligned <> ''")
-    verdict = judged.unionByName(cut_by_index(hot, shingle, threshold)).groupBy("rep").agg(F.min("aligned").alias("aligned"))
+    verdict = judged.unionByName(cut_by_index(distinct, shingle, threshold)).groupBy("rep").agg(F.min("aligned").alias("aligned"))
     return reps.select("doc_id", "rep").join(verdict, "rep").select("doc_id", "aligned")
 
 
