@@ -218,3 +218,14 @@ def test_unfinished_tag_that_began_far_back():
     assert [read_units(t + prose)[1] for t in ("If a <b then", "for (i = 0; i <n; i++) x = 1;")] == ["closed"] * 2
     read_units("<a" + " b=c" * 100_000 + " <")
     read_units("<a" + " b" * 100_000)
+
+
+def test_cut_copies_at_the_threshold_are_found(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(200):
+        words = [f"k{k}w{i}z{n}" for i, n in enumerate(rng.integers(0, 1_000_000, 104))]
+        rows += [(2 * k, " ".join(words[:84])), (2 * k + 1, " ".join(words) + ".")]
+    found = {r.doc_id: r for r in truncated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len([k for k in range(200) if found[2 * k].aligned != "cut"]) <= 1  # 0.04 % are expected to escape
+    assert not any(found[2 * k + 1].aligned for k in range(200))

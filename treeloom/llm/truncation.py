@@ -557,7 +557,7 @@ def cut_by_index(texts: DataFrame, shingle: int, threshold: float, *, room: int
     return ordered.mapInArrow(_seek(shingle, threshold), "rep bigint, aligned string")
 
 
-def near_copy_endings(texts: DataFrame, *, bands: int = 9, rows: int = 5, shingle: int = 5, threshold: float = 0.8, small: int = 32) -> DataFrame:
+def near_copy_endings(texts: DataFrame, *, bands: int = 20, rows: int = 5, shingle: int = 5, threshold: float = 0.8, small: int = 32) -> DataFrame:
     """(doc_id, aligned): "cut" or "end" for documents with a longer near-copy, by the text's hash.
 
     Exact copies meet as one text. A bucket of up to ``small`` texts compares each
