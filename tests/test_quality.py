@@ -4,11 +4,12 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from treeloom.operators.keyload import dominant_keys, per_key_counts
-from treeloom.operators.orphans import orphan_references, orphan_report
+from treeloom.operators.orphans import _ranges, orphan_references, orphan_report
 from treeloom.operators.shred import _parse_deep, parse, post_links, shred, users_and_posts
 
 DAY = dt.timedelta(days=1)
@@ -31,20 +32,31 @@ def brute_orphans(children, parents):
     return out
 
 
-@pytest.mark.parametrize("bits,block", [(16, 500_000), (2, 500_000), (2, 7)])
-def test_orphans_match_brute_force(spark, bits, block):
-    rng = random.Random(bits + block)
+@pytest.mark.parametrize("ranges,sparse", [(1, 1), (5, 1), (60, 1), (7, 1 << 56)])
+def test_orphans_match_brute_force(spark, ranges, sparse):
+    rng = random.Random(ranges)
     parents = [(rng.randint(-5, 30) if rng.random() > 0.05 else None, START + DAY * rng.randint(0, 90) if rng.random() > 0.1 else None, None) for _ in range(60)]
     parents = [(k, b, (b or START) + DAY * rng.randint(0, 40) if rng.random() > 0.4 else None) for k, b, _ in parents]
-    parents += parents[:10]
-    children = [(i, rng.choice([None, 3, 3, 3, *range(-6, 34)]), START + DAY * rng.randint(0, 120) if rng.random() > 0.05 else None) for i in range(300)]
+    parents = [(k and k * sparse, b, d) for k, b, d in parents + parents[:10]]
+    children = [(i, rng.choice([None, 3 * sparse, 3 * sparse, 3 * sparse, *(k * sparse for k in range(-6, 34))]), START + DAY * rng.randint(0, 120) if rng.random() > 0.05 else None) for i in range(300)]
     children += children[:40]
     c = spark.createDataFrame(children, "id bigint, ref bigint, created_at timestamp").withColumns({"key": F.lit("clash"), "range": F.lit(1), "kind": F.lit("x"), "block": F.lit(None).cast("string")})
     p = spark.createDataFrame(parents, "id bigint, created_at timestamp, deleted_at timestamp").withColumn("range", F.lit("clash"))
-    got = orphan_references(c, p, reference="ref", range_bits=bits, block_rows=block)
+    got = orphan_references(c, p, reference="ref", ranges=ranges, range_rows=1)
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, brute_orphans(children, parents)))
 
 
+def test_references_are_spread_however_sparse_or_skewed(spark):
+    keys = [k * (1 << 50) for k in range(400)] + [(1 << 58) + 1] * 600
+    bounds = _ranges(spark.createDataFrame([(k,) for k in keys], "key bigint"), 10, 1)
+    assert len(bounds) == 9 and sorted(bounds) == list(bounds)
+    low, high = (np.searchsorted(bounds, np.array(keys, float), side) for side in ("left", "right"))
+    share = np.zeros(10)
+    for a, b in zip(low, high):
+        share[a : b + 1] += 1 / (b - a + 1)
+    assert share.max() < 200
+
+
 def test_orphans_boundaries_and_empty_tables(spark):
     c = spark.createDataFrame([(1, 1, START), (2, 1, START + DAY), (3, 1, START - DAY)], "id bigint, ref bigint, created_at timestamp")
     p = spark.createDataFrame([(1, START, START + DAY)], "id bigint, created_at timestamp, deleted_at timestamp")
