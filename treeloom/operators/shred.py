@@ -20,12 +20,6 @@ from pyspark.sql import functions as F
 
 from treeloom.runtime import materialize
 
-#: Fields that mark an object as one record; an object without any of them whose values are all objects is keyed by id.
-RECORD_FIELDS = frozenset(
-    "id user_id name title profile stats labels attachments sections archive users posts replies meta lang badges size views by_day label".split()
-)
-
-
 class _Number(str):
     """A number as it stands in the text."""
 
@@ -141,10 +135,12 @@ def _keyed(value: dict, record_fields: frozenset[str]) -> bool:
     return True
 
 
-def walk(doc, containers: dict[str, str], record_fields: frozenset[str] = RECORD_FIELDS) -> Iterator[tuple]:
+def walk(doc, containers: dict[str, str], record_fields: frozenset[str]) -> Iterator[tuple]:
     """(node, parent, label, ordinal, kind, scalar, entity, map_key, scopes) of every node, parents first.
 
-    containers: entity by container field. scopes: the nearest enclosing object
+    containers: entity by container field. record_fields: fields that mark an object
+    as one record; an object held by a container without any of them whose values
+    are all objects is keyed by id. scopes: the nearest enclosing object
     of each entity, the node itself not counted. No recursion, so depth is unbounded.
     """
     stack = [(doc, -1, None, None, None, None, ())]
@@ -227,13 +223,15 @@ def shred(
     body: str,
     containers: dict[str, str],
     scalars: list[str] | None = None,
-    record_fields: frozenset[str] = RECORD_FIELDS,
+    record_fields: frozenset[str] = frozenset(),
 ) -> DataFrame:
     """Adjacency rows of every body that is strict JSON, with ``in_<entity>`` links.
 
     A container field holds a list, a single object or an object keyed by ids, and
     any field may hold JSON text, which is read as what it stands for. With
     ``scalars``, only entity objects and the scalars of these labels are kept.
+    Keyed by ids is a held object whose values are all objects or null, unless it
+    has a container field, one of ``scalars`` or one of ``record_fields``.
 
     Null, empty and invalid bodies give no row. A null ``doc_id`` stays null;
     bodies under one ``doc_id`` are told apart by ``digest``. Numbers keep their
@@ -243,7 +241,7 @@ def shred(
     schema = "src bigint, digest bigint, node int, parent int, label string, ordinal int, kind string, scalar string, entity string, map_key string"
     schema += "".join(f", in_{e} int" for e in entities)
     rows = docs.where(F.col(body).isNotNull()).select(F.col(doc_id).cast("long").alias("src"), F.xxhash64(F.col(body)).alias("digest"), F.col(body).cast("string").alias("body"))
-    return rows.mapInArrow(_shredder(containers, frozenset(scalars) if scalars is not None else None, record_fields), schema)
+    return rows.mapInArrow(_shredder(containers, frozenset(scalars) if scalars is not None else None, record_fields.union(containers, scalars or ())), schema)
 
 
 def entities(nodes: DataFrame, scalars: list[str], scopes: list[str]) -> DataFrame:
