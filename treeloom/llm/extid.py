@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from treeloom.llm.contact import clean, let
+from treeloom.llm.contact import Steps, clean, read
 
 #: Widths of the two digit blocks of an identifier written without separators.
 BLOCKS = (4, 5)
 
 
-def ext_id_texts(value: Column) -> Column:
+def ext_id_steps() -> Steps:
     """Canonical writings of an identifier: first its identity without leading zeros, then with blocks padded. Null if blank.
 
     A mistyped identifier keeps the blocks it has, so that it stays one slip from
     the right one: in the first writing unless the slip hit a leading zero, then
     in the second.
     """
+
+    def dash(value: Column) -> Column:
+        low = F.lower(value)
+        dashed = F.regexp_replace(F.regexp_replace(F.lower(clean(value)), r"[^\p{L}\p{N}]+", "-"), r"^-+|-+$", "")
+        # as it should be already
+        return F.when(low.rlike(_PLAIN), low).otherwise(dashed)
+
     def pad(part: Column, i: Column) -> Column:
         width = F.when(i == 1, BLOCKS[0]).otherwise(BLOCKS[1])
         return F.when(i == 0, part).otherwise(F.lpad(part, F.greatest(F.length(part), width), "0"))
@@ -27,10 +34,21 @@ def ext_id_texts(value: Column) -> Column:
 
     def blocks(dashed: Column) -> Column:
         joined = F.when(dashed.contains("-"), dashed).otherwise(F.regexp_replace(dashed, rf"^([a-z]{{3}})(\d{{{BLOCKS[0]}}})(\d+x?)$", "$1-$2-$3"))
-        return F.when(dashed != "", F.split(F.regexp_replace(joined, r"(?<=^|-)0+(?=[0-9])", ""), "-"))
+        return F.split(F.regexp_replace(joined, r"(?<=^|-)0+(?=[0-9])", ""), "-")
+
+    def finish(dashed: Column) -> Column:
+        # without leading zeros and with blocks of full width both writings are the text itself
+        return F.when(dashed.rlike(_FULL), F.array(dashed)).otherwise(F.when(dashed != "", read(blocks(dashed), [writings])))
+
+    return [dash, finish]
 
-    dashed = F.regexp_replace(F.regexp_replace(F.lower(clean(value)), r"[^\p{L}\p{N}]+", "-"), r"^-+|-+$", "")
-    return let(dashed, lambda d: let(blocks(d), lambda parts: F.when(parts.isNotNull(), writings(parts))))
+
+_PLAIN = rf"^[a-z]{{3}}-\d{{{BLOCKS[0]},}}-\d{{{BLOCKS[1] - 1},}}[\dx]$"
+_FULL = rf"^[a-z]{{3}}-[1-9]\d{{{BLOCKS[0] - 1},}}-[1-9]\d{{{BLOCKS[1] - 2},}}[\dx]$"
+
+
+def ext_id_texts(value: Column) -> Column:
+    return read(value, ext_id_steps())
 
 
 def content(payload: Column) -> Column:
