@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.llm import contact
-from treeloom.llm.extid import content, ext_id_texts
+from treeloom.llm.extid import content, ext_id_steps
 from treeloom.llm.features import document_features
 from treeloom.llm.incremental import deduplicate
 from treeloom.llm.mixing import mix
@@ -24,34 +24,45 @@ __all__ = ["QUERIES", "SQL"]
 FEED_TRUST = {"crm_push": 1.0, "web_form": 0.9, "till_sync": 0.8, "partner_csv": 0.7, "legacy_dump": 0.5}
 
 
+def _users(spark: SparkSession, sf_dir: str, *, drop_tag: bool) -> DataFrame:
+    """users_77 with the usable value of each descriptive field in one writing, else null."""
+    users = table(spark, sf_dir, "users_77")
+    users = contact.with_reading(users, "inbox", F.col("email"), contact.email_steps(drop_tag))
+    users = contact.with_reading(users, "person", F.col("name"), contact.name_steps())
+    return contact.with_reading(users, "number", F.col("phone"), contact.phone_steps())
+
+
 def _user_fields() -> dict:
-    return {"email": contact.email(F.col("email"), drop_tag=False), "name": contact.person_name(F.col("name")), "phone": contact.phone(F.col("phone"))}
+    return {"email": F.col("inbox"), "name": F.col("person"), "phone": F.col("number")}
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = survivors(table(spark, sf_dir, "users_77"), group="id", record_id="rec_id", time="changed_at", fields=_user_fields(), half_life_days=None)
+    """The newest usable value of each field: votes halve 64 times a microsecond, so that no number of older ones outweighs a newer one."""
+    best = survivors(
+        _users(spark, sf_dir, drop_tag=False), group="id", record_id="rec_id", time="changed_at", fields=_user_fields(), source="feed", trust=FEED_TRUST, half_life_days=1 / 64 / 86_400e6, tie_bits=64
+    )
     long = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f"{f}_record").alias("rec_id")) for f in ("email", "name", "phone"))))
     return best.where("n_rows >= 2").select(F.col("id").alias("user_id"), long.alias("v")).select("user_id", "v.*").where("rec_id IS NOT NULL")
 
 
 def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per user by summed votes: trust of the feed, half-life 180 days."""
-    best = survivors(table(spark, sf_dir, "users_77"), group="id", record_id="rec_id", time="changed_at", fields=_user_fields(), source="feed", trust=FEED_TRUST)
+    best = survivors(_users(spark, sf_dir, drop_tag=False), group="id", record_id="rec_id", time="changed_at", fields=_user_fields(), source="feed", trust=FEED_TRUST)
     return best.select(F.col("id").alias("user_id"), "n_rows", "email", "email_record", "name", "name_record", "phone", "phone_record")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phone, name = contact.phone(F.col("phone")), contact.person_name(F.col("name"))
     users = deduplicate(
-        table(spark, sf_dir, "users_77"),
+        _users(spark, sf_dir, drop_tag=True),
         batch="batch_no",
         key="rec_id",
-        texts=F.array(contact.email(F.col("email"))),
-        agree=F.array(F.concat(F.lit("phone "), phone), F.concat(F.lit("name "), name)),
+        texts=F.array("inbox"),
+        agree=F.array(F.concat(F.lit("phone "), "number"), F.concat(F.lit("name "), "person")),
         bands=4,
     )
+    identified = contact.with_reading(table(spark, sf_dir, "events_77"), "writings", F.col("ext_id"), ext_id_steps())
     events = deduplicate(
-        table(spark, sf_dir, "events_77"), batch="batch_no", key="id", texts=F.coalesce(ext_id_texts(F.col("ext_id")), F.array(F.lit(None).cast("string"))), agree=F.array(content(F.col("payload"))), bands=5
+        identified, batch="batch_no", key="id", texts=F.coalesce("writings", F.array(F.lit(None).cast("string"))), agree=F.array(content(F.col("payload"))), bands=5
     )
     return users.repeats().select(F.lit("users_77").alias("table_name"), "key_a", "key_b").unionByName(events.repeats().select(F.lit("events_77").alias("table_name"), "key_a", "key_b"))
 
@@ -64,7 +75,7 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill(p6_packed(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
 
 
-def _mixed(spark: SparkSession, sf_dir: str, budget: float | str | None = None) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str, budget: float | str | None = "exact") -> tuple[DataFrame, DataFrame]:
     features = document_features(table(spark, sf_dir, "documents"), source="source", lang="lang")
     return mix(features, table(spark, sf_dir, "mix_targets"), budget=budget)
 
@@ -74,12 +85,13 @@ def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the largest mixture in which no cap binds."""
     return _mixed(spark, sf_dir)[1]
 
 
-def p7_shares_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of the largest mixture in which no cap binds."""
-    return _mixed(spark, sf_dir, "exact")[1]
+def p7_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of a mixture as large as the sources, of which small ones are taken as often as allowed."""
+    return _mixed(spark, sf_dir, None)[1]
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_fill": p6_fill,
     "p7_mixed": p7_mixed,
     "p7_shares": p7_shares,
-    "p7_shares_exact": p7_shares_exact,
+    "p7_shares_full": p7_shares_full,
     "p8_found": p8_found,
     "p8_rates": p8_rates,
 }
\ No newline at end of file
