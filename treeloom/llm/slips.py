@@ -10,17 +10,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def minwise(texts: list[str], size: int) -> np.ndarray:
-    """``size`` minwise values of each text, over its characters numbered by occurrence.
+def minwise(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``size`` minwise values and the signature of each text, over its characters numbered by occurrence.
 
     A swap leaves this set as it is, and any other slip changes one element or
     two, so texts of n characters one slip apart are alike by (n - 1) / (n + 1) or more.
+    The signature is an odd sketch, the parities of the elements' 64 hash classes:
+    such texts differ in two of its bits at most.
     """
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     out = np.full((len(texts), size), np.iinfo(np.int64).max, np.int64)
+    sketch = np.zeros(len(texts), np.int64)
     if not len(codes):
-        return out
+        return out, sketch
     of = np.repeat(np.arange(len(texts)), lengths)
     order = np.lexsort((codes, of))
     c, o = codes[order], of[order]
@@ -32,7 +35,9 @@ def minwise(texts: list[str], size: int) -> np.ndarray:
     heads = np.r_[0, np.cumsum(lengths[filled])[:-1]]
     for seed in range(size):
         out[filled, seed] = np.minimum.reduceat(_mix(element + np.uint64((seed + 1) * _STEP & _ALL)), heads).view(np.int64)
-    return out
+    bits = np.uint64(1) << (_mix(element) >> np.uint64(58))
+    sketch[filled] = np.bitwise_xor.reduceat(bits, heads).view(np.int64)
+    return out, sketch
 
 
 _STEP, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -51,12 +56,9 @@ def band_keys(mins: np.ndarray, agree: np.ndarray) -> np.ndarray:
     return _mix(_mix(mins.view(np.uint64) + place[None, :]) + agree.astype(np.int64).view(np.uint64)[:, None]).view(np.int64)
 
 
-def signatures(mins: np.ndarray) -> np.ndarray:
-    """The low bytes of the first eight minwise values in one word."""
-    out = np.zeros(len(mins), np.uint64)
-    for i in range(min(8, mins.shape[1])):
-        out |= (mins[:, i].view(np.uint64) & np.uint64(255)) << np.uint64(8 * i)
-    return out.view(np.int64)
+def alike(a: Column, b: Column) -> Column:
+    """Whether two signatures may belong to texts one slip apart; never false for such texts."""
+    return F.bit_count(a.bitwiseXOR(b)) <= 2
 
 
 def deletions(text: Column) -> Column:
