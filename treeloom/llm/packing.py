@@ -2,9 +2,12 @@
 
 Documents are hashed to vectors, projected to three dimensions and range-sorted by
 their Hilbert key, so that each partition holds one stretch of the curve. A
-partition packs its documents in blocks of neighbours: within a block the largest
-pieces go first, each into the fullest container it fits, and containers with
-room left stay open for the next blocks. Only ids and token counts are shuffled.
+partition walks along its stretch in steps of a few documents. The pieces of a
+step go, largest first, each into the fullest container that it fits among those
+opened within the last ``reach`` steps; a container that was left behind stays as
+it is. So what shares a container lies close together on the curve. Containers
+still open where a stretch ends are handed on, to be joined with those of the
+stretches after it. Only ids and token counts are shuffled.
 """
 
 from __future__ import annotations
@@ -20,13 +23,16 @@ from treeloom.runtime import materialize
 
 PACKED = "spec_name string, container_id bigint, doc_id bigint, piece_no int, token_start bigint, tokens bigint"
 
+#: Documents a stretch has at least, so that its open containers are few beside its full ones.
+STRETCH = 2048
+
 
 class Packer:
-    """Containers of one capacity, filled best fit; at most ``keep`` stay open between blocks."""
+    """Containers of one capacity, filled best fit."""
 
-    def __init__(self, capacity: int, keep: int = 4096):
-        self.capacity, self.keep = capacity, keep
-        self.room: dict[int, list[int]] = {}  # containers by free space
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.room: dict[int, list[int]] = {}  # open containers by free space
         self.mask = 0  # bit s is set if a container has s free
         self.count = 0
 
@@ -38,7 +44,7 @@ class Packer:
             stack = self.room[free]
             number = stack.pop()
             if not stack:
-                self.mask ^= 1 << free
+                self._full(free)
         else:
             free, number = self.capacity, self.count
             self.count += 1
@@ -48,17 +54,19 @@ class Packer:
             self.mask |= 1 << left
         return number
 
-    def trim(self) -> None:
-        """Close the fullest containers beyond ``keep``; they are the least useful to later pieces."""
-        open_ = sum(map(len, self.room.values()))
-        for free in sorted(self.room):
-            if open_ <= self.keep:
-                break
-            drop = min(len(self.room[free]), open_ - self.keep)
-            del self.room[free][:drop]
-            open_ -= drop
-            if not self.room[free]:
-                self.mask &= ~(1 << free)
+    def _full(self, free: int) -> None:
+        del self.room[free]
+        self.mask ^= 1 << free
+
+    def leave(self, oldest: int) -> None:
+        """Close the containers opened before this one."""
+        for free, stack in list(self.room.items()):
+            stack[:] = [n for n in stack if n >= oldest]
+            if not stack:
+                self._full(free)
+
+    def open(self) -> list[int]:
+        return [n for stack in self.room.values() for n in stack]
 
 
 def pieces(tokens: int, capacity: int) -> list[tuple[int, int, int]]:
@@ -66,63 +74,125 @@ def pieces(tokens: int, capacity: int) -> list[tuple[int, int, int]]:
     return [(i, start, min(capacity, tokens - start)) for i, start in enumerate(range(0, tokens, capacity))]
 
 
-def _pack(specs: list[tuple[str, int]], block: int):
-    schema = pa.schema([("spec_name", pa.string()), ("container_id", pa.int64()), ("doc_id", pa.int64()), ("piece_no", pa.int32()), ("token_start", pa.int64()), ("tokens", pa.int64())])
+_PLACED = pa.schema([("spec_name", pa.string()), ("container_id", pa.int64()), ("doc_id", pa.int64()), ("piece_no", pa.int32()), ("token_start", pa.int64()), ("tokens", pa.int64()), ("handed_on", pa.bool_())])
+
+
+def _pack(specs: list[tuple[str, int]], step: int, reach: int):
+    """Rows of PACKED with handed_on, whether the container was open at the end: its rows wait for this."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packers = [(name, cap, Packer(cap)) for name, cap in specs]
-        pending: list[tuple[int, int]] = []
+        walks = [(name, cap, Packer(cap), [], {}) for name, cap in specs]
+        ready: list[tuple] = []
         pid = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for name, cap, packer in packers:
-                todo = [(size, doc, no, start) for doc, tokens in pending for no, start, size in pieces(tokens, cap)]
+        def walk(block: list[tuple[int, int]]) -> None:
+            for name, cap, packer, marks, held in walks:
+                marks.append(packer.count)
+                todo = [(size, doc, no, start) for doc, tokens in block for no, start, size in pieces(tokens, cap)]
                 todo.sort(key=lambda p: -p[0])
-                placed = [packer.place(p[0]) for p in todo]
-                packer.trim()
-                for at in range(0, len(todo), 50_000):
-                    part = todo[at : at + 50_000]
-                    columns = [[name] * len(part), [(pid << 36) + c for c in placed[at : at + 50_000]], [p[1] for p in part], [p[2] for p in part], [p[3] for p in part], [p[0] for p in part]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-            pending.clear()
-
+                for size, doc, no, start in todo:
+                    number = packer.place(size)
+                    row = (name, (pid << 36) + number, doc, no, start, size, False)
+                    if size == cap:
+                        ready.append(row)
+                    else:
+                        held.setdefault(number, []).append(row)
+                if len(marks) > reach:
+                    packer.leave(marks.pop(0))
+                still = set(packer.open())
+                for number in [n for n in held if n not in still]:
+                    ready.extend(held.pop(number))
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(ready), 50_000):
+                part = ready[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _PLACED)], schema=_PLACED)
+            ready.clear()
+
+        waiting: list[tuple[int, int]] = []
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             pid = batch.column("pid")[0].as_py()
-            pending.extend(zip(batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist()))
-            if len(pending) >= block:
-                yield from flush()
-        if pending:
-            yield from flush()
+            waiting.extend(zip(batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist()))
+            while len(waiting) >= step:
+                walk(waiting[:step])
+                del waiting[:step]
+            yield from emit()
+        if waiting:
+            walk(waiting)
+        for *_, held in walks:
+            for number, rows in held.items():
+                ready.extend((*row[:-1], True) for row in rows)
+        yield from emit()
 
     return run
 
 
-def pack(features: DataFrame, specs: DataFrame, *, block: int = 20_000, partitions: int | None = None, max_specs: int = 1000) -> DataFrame:
+def _join_open(specs: dict[str, int], reach: int):
+    """(spec_name, container_id, joined): open containers, in the order of the curve, poured together where they fit."""
+    schema = pa.schema([("spec_name", pa.string()), ("container_id", pa.int64()), ("joined", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[str, list[tuple[int, int]]] = {name: [] for name in specs}
+
+        def pour(name: str) -> Iterator[pa.RecordBatch]:
+            packer, first, rows = Packer(specs[name]), {}, []
+            for used, container in sorted(((used, c) for c, used in groups[name]), key=lambda x: (-x[0], x[1])):
+                number = packer.place(used)
+                rows.append((name, container, first.setdefault(number, container)))
+            groups[name] = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        for batch in batches:
+            for name, container, used in zip(*(batch.column(c).to_pylist() for c in ("spec_name", "container_id", "used"))):
+                groups[name].append((container, used))
+                if len(groups[name]) >= reach:
+                    yield from pour(name)
+        for name in specs:
+            yield from pour(name)
+
+    return run
+
+
+def pack(features: DataFrame, specs: DataFrame, *, step: int = 192, reach: int = 2, stretches: int | None = None, max_specs: int = 1000) -> DataFrame:
     """(spec_name, container_id, doc_id, piece_no, token_start, tokens): every token of every document, in one container per spec.
 
     features(doc_id, tokens, curve). A document is split only if it exceeds the
     capacity, then into full containers and a rest. Documents without tokens go
     nowhere. Specs with a null name or without positive capacity are left out, and
     no specs or no documents give no rows; of equal documents each is packed.
-    Container ids are unique within a spec. Few documents make few partitions: a
-    partition starts containers of its own, so it gets at least ``block`` documents.
+    Container ids are unique within a spec; of several capacities under one name
+    the largest counts.
+
+    step: documents packed together. reach: steps a container stays open; more of
+    either fills better, less keeps nearer to the curve. stretches: pieces of the
+    curve packed side by side, by default one a shuffle partition with at least
+    STRETCH documents in each.
     """
     spark = features.sparkSession
-    rows = specs.where("spec_name IS NOT NULL AND capacity_tokens > 0").select("spec_name", F.col("capacity_tokens").cast("int")).distinct().limit(max_specs + 1).collect()
+    rows = specs.where("spec_name IS NOT NULL AND capacity_tokens > 0").groupBy("spec_name").agg(F.max("capacity_tokens").cast("int")).limit(max_specs + 1).collect()
     if len(rows) > max_specs:
         raise ValueError(f"more than {max_specs} container sizes")
     if not rows:
         return spark.createDataFrame([], T.StructType.fromDDL(PACKED))
     sized = materialize(features.where("tokens > 0").select("curve", "doc_id", "tokens"), "sized")
-    parts = partitions or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), sized.count() // block))
+    parts = stretches or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), sized.count() // STRETCH))
     along = sized.repartitionByRange(parts, "curve", "doc_id").sortWithinPartitions("curve", "doc_id").select("doc_id", "tokens", F.spark_partition_id().cast("long").alias("pid"))
-    return along.mapInArrow(_pack(sorted((r[0], r[1]) for r in rows), block), PACKED)
+    placed = materialize(along.mapInArrow(_pack(sorted((r[0], r[1]) for r in rows), step, reach), PACKED + ", handed_on boolean"), "placed")
+    if parts == 1:
+        return placed.drop("handed_on")
+    # a stretch hands on no more than it opens in ``reach`` steps, so these are few however many documents there are
+    handed = placed.where("handed_on").groupBy("spec_name", "container_id").agg(F.sum("tokens").alias("used"))
+    beside = handed.repartitionByRange(max(1, parts // 64), "container_id").sortWithinPartitions("container_id")
+    joined = materialize(beside.mapInArrow(_join_open(dict(sorted((r[0], r[1]) for r in rows)), 1000), "spec_name string, container_id bigint, joined bigint"), "joined")
+    final = placed.where("handed_on").drop("handed_on").join(joined, ["spec_name", "container_id"]).select("spec_name", F.col("joined").alias("container_id"), "doc_id", "piece_no", "token_start", "tokens")
+    return placed.where("NOT handed_on").drop("handed_on").unionByName(final)
 
 
 def fill(packed: DataFrame, specs: DataFrame) -> DataFrame:
     """(spec_name, capacity_tokens, containers, tokens, fill): the share of the containers' space that is used."""
     used = packed.groupBy("spec_name").agg(F.count_distinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
-    sizes = specs.select("spec_name", F.col("capacity_tokens").cast("bigint")).distinct()
+    sizes = specs.groupBy("spec_name").agg(F.max("capacity_tokens").cast("bigint").alias("capacity_tokens"))
     return used.join(sizes, "spec_name").select("spec_name", "capacity_tokens", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
