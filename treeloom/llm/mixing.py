@@ -13,13 +13,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.runtime import materialize
 
-#: Languages told apart; null and other values are one more.
-LANGUAGES = ("en", "de", "es", "fr")
 BUCKETS = 256
 
 
@@ -81,35 +80,42 @@ def rake(cells: list[Cell], sources: dict[str, float], cap: dict[str, float], ro
     return weight
 
 
-def thresholds(cells: list[Cell], weight: np.ndarray, histogram: dict[tuple, np.ndarray]) -> list[tuple[str, str, int, int, int]]:
-    """(source, lang, topic, whole, limit): repeats of all documents, and the hash bucket below which one more is taken.
+def thresholds(histogram: pd.DataFrame) -> pd.DataFrame:
+    """(source, lang, topic, whole, limit_bucket): repeats of all documents of a cell, and the hash bucket below which one more is taken.
 
-    What a cell's limit misses is carried to the next cell of the source.
+    histogram(source, lang, topic, bucket, tokens, weight) of one source. What a
+    cell's limit misses is carried to the next cell.
     """
-    out, carry = [], dict.fromkeys((c.source for c in cells), 0.0)
-    for c, w in sorted(zip(cells, weight), key=lambda x: (x[0].source, x[0].lang, x[0].topic)):
-        whole = int(np.floor(w / c.tokens + 1e-12)) if c.tokens else 0
-        want = w - whole * c.tokens + carry[c.source]
-        sums = np.r_[0.0, np.cumsum(histogram[c.source, c.lang, c.topic])]
+    out, carry = [], 0.0
+    for (source, lang, topic), cell in histogram.groupby(["source", "lang", "topic"], sort=True):
+        sums = np.zeros(BUCKETS + 1)
+        np.add.at(sums, cell["bucket"].to_numpy() + 1, cell["tokens"].to_numpy(float))
+        sums = np.cumsum(sums)
+        have, weight = sums[-1], float(cell["weight"].iloc[0])
+        whole = int(np.floor(weight / have + 1e-12))
+        want = weight - whole * have + carry
         # at the cap nothing more may be taken, which the weight then asks for by no more than the carry
-        limit = int(np.abs(sums - want).argmin()) if w < c.tokens * (whole + 1) and want > 0 else 0
-        carry[c.source] = want - sums[limit]
-        out.append((c.source, c.lang, c.topic, whole, limit))
-    return out
+        limit = int(np.abs(sums - want).argmin()) if weight < have * (whole + 1) and want > 0 else 0
+        carry = want - sums[limit]
+        out.append((source, lang, topic, whole, limit))
+    return pd.DataFrame(out, columns=["source", "lang", "topic", "whole", "limit_bucket"])
 
 
-def mix(features: DataFrame, targets: DataFrame, *, budget: float | str | None = None, max_sources: int = 1000) -> tuple[DataFrame, DataFrame]:
+def mix(features: DataFrame, targets: DataFrame, *, budget: float | str | None = "exact", max_sources: int = 1000, max_languages: int = 16) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares).
 
     chosen(doc_id, source, tokens, copies) has the documents taken at least once;
     shares(source, target_share, repeat_cap, available_tokens, tokens, actual_share)
     has every target. features(doc_id, source, lang, topic, tokens).
 
-    budget: tokens of the mixture, by default as many as the targets' sources
-    have; "exact" for the largest mixture that meets all shares. Sources are
+    budget: "exact" for the largest mixture that meets all shares, a number of
+    tokens, or None for as many as the targets' sources have; with either of these
+    a source whose repeats do not suffice is taken as often as allowed. Sources are
     compared without case and outer blanks. Documents without source, of other
     sources or without tokens are not used. A target without documents reaches 0;
     no targets or no documents give no chosen rows. Repeated documents count each.
+    The languages with most tokens are told apart, at most ``max_languages``; all
+    others and null are one more.
     """
     spark = features.sparkSession
     listed = targets.where("source IS NOT NULL AND target_share > 0").select(source_name(F.col("source")), F.col("target_share").cast("double"), F.greatest(F.coalesce("repeat_cap", F.lit(1)), F.lit(0)).cast("double")).limit(max_sources + 1).collect()
@@ -119,25 +125,25 @@ def mix(features: DataFrame, targets: DataFrame, *, budget: float | str | None =
     cap = {r[0]: r[2] for r in listed}
     whole = sum(share.values()) or 1.0
     share = {s: v / whole for s, v in share.items()}
-    lang = F.lower(F.trim("lang"))
-    rows = features.select("doc_id", source_name(F.col("source")).alias("source"), F.when(lang.isin(*LANGUAGES), lang).otherwise("other").alias("lang"), "topic", "tokens").where(F.col("source").isin(*share) & (F.col("tokens") > 0))
+    rows = features.select("doc_id", source_name(F.col("source")).alias("source"), F.coalesce(F.lower(F.trim("lang")), F.lit("")).alias("lang"), "topic", "tokens").where(F.col("source").isin(*share) & (F.col("tokens") > 0))
     rows = materialize(rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(BUCKETS)).cast("int")), "mix")
-    # at most sources x languages x topics x BUCKETS sums, whatever the size of the corpus
-    sums = rows.groupBy("source", "lang", "topic", "bucket").agg(F.sum("tokens").alias("tokens")).collect()
-    histogram: dict[tuple, np.ndarray] = {}
-    for r in sums:
-        histogram.setdefault((r[0], r[1], r[2]), np.zeros(BUCKETS))[r[3]] += r[4]
-    cells = [Cell(*k, float(v.sum())) for k, v in sorted(histogram.items())]
+    common = [r[0] for r in rows.where("lang <> ''").groupBy("lang").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), "lang").limit(max_languages).collect()]
+    rows = rows.withColumn("lang", F.when(F.col("lang").isin(*common), F.col("lang")).otherwise(F.lit("other")) if common else F.lit("other"))
+    by = ["source", "lang", "topic"]
+    histogram = materialize(rows.groupBy(*by, "bucket").agg(F.sum("tokens").alias("tokens")), "histogram")
+    # at most sources x languages x topics rows, whatever the size of the corpus
+    cells = [Cell(r[0], r[1], r[2], float(r[3])) for r in histogram.groupBy(*by).agg(F.sum("tokens")).orderBy(*by).collect()]
     available: dict[str, float] = {}
     for c in cells:
         available[c.source] = available.get(c.source, 0.0) + c.tokens
     size = exact_budget(available, share, cap) if budget == "exact" else float(budget) if budget is not None else sum(available.values())
-    totals = source_totals(available, share, cap, size)
-    limits = thresholds(cells, rake(cells, totals, cap), histogram) if cells else []
-    plan = spark.createDataFrame(limits, "source string, lang string, topic int, whole int, limit_bucket int")
+    weights = rake(cells, source_totals(available, share, cap, size), cap) if cells else []
+    plan = spark.createDataFrame([(c.source, c.lang, c.topic, float(w)) for c, w in zip(cells, weights)], "source string, lang string, topic int, weight double")
+    # plan and limits have one row a cell; a source's group has at most one row a cell and bucket
+    limits = histogram.join(F.broadcast(plan), by).groupBy("source").applyInPandas(thresholds, "source string, lang string, topic int, whole int, limit_bucket int")
+    limits = materialize(limits, "limits")
     copies = (F.col("whole") + (F.col("bucket") < F.col("limit_bucket")).cast("int")).alias("copies")
-    # the plan has one row a cell
-    chosen = rows.join(F.broadcast(plan), ["source", "lang", "topic"]).select("doc_id", "source", "tokens", copies).where("copies > 0")
+    chosen = rows.join(F.broadcast(limits), by).select("doc_id", "source", "tokens", copies).where("copies > 0")
     goal = spark.createDataFrame([(s, share[s], int(cap[s]), int(available.get(s, 0))) for s in sorted(share)], "source string, target_share double, repeat_cap int, available_tokens bigint")
     reached = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
     shares = goal.join(reached, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
