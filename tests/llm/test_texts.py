@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from treeloom.llm.features import document_features, hilbert_keys, project, token_counts
 from treeloom.llm.mixing import Cell, exact_budget, mix, rake, source_totals
 from treeloom.llm.packing import Packer, fill, pack, pieces
-from treeloom.llm.truncation import aligned_cut, rates, read_units, truncated
+from treeloom.llm.truncation import FACTS, aligned_cut, corpus_counts, rates, read_units, strip_marker, truncated
 
 
 def test_hilbert_neighbours_are_adjacent():
@@ -31,11 +31,12 @@ def test_features_of_odd_texts(spark):
 
 def test_packer_never_overfills():
     rng = np.random.default_rng(2)
-    packer, used = Packer(100, keep=5), {}
+    packer, used = Packer(100), {}
     for size in rng.integers(1, 101, 3000):
         n = packer.place(int(size))
         used[n] = used.get(n, 0) + int(size)
-        packer.trim()
+        assert n >= packer.count - 21
+        packer.leave(packer.count - 20)
     assert max(used.values()) <= 100
     assert pieces(250, 100) == [(0, 0, 100), (1, 100, 100), (2, 200, 50)] and pieces(100, 100) == [(0, 0, 100)]
 
@@ -45,7 +46,7 @@ def test_packing_keeps_every_token_once(spark):
     sizes = [int(s) for s in rng.integers(0, 400, 3000)]
     features = spark.createDataFrame([(i, s, int(rng.integers(0, 1 << 30))) for i, s in enumerate(sizes)] + [(None, 5, 5), (0, sizes[0] or 1, 7)], "doc_id bigint, tokens bigint, curve bigint").withColumn("pid", F.lit("clash"))
     specs = spark.createDataFrame([("s", 64), ("l", 512), ("bad", 0), (None, 5), ("s", 64)], "spec_name string, capacity_tokens int")
-    packed = pack(features, specs, block=500, partitions=3)
+    packed = pack(features, specs, stretches=3)
     rows = packed.collect()
     total = sum(sizes) + 5 + (sizes[0] or 1)
     for name, cap in (("s", 64), ("l", 512)):
@@ -62,6 +63,19 @@ def test_packing_keeps_every_token_once(spark):
     assert pack(features, specs.limit(0)).count() == 0 and pack(features.limit(0), specs).count() == 0
 
 
+def test_containers_hold_neighbours_on_the_curve(spark):
+    rng = np.random.default_rng(7)
+    n = 20_000
+    features = spark.createDataFrame([(i, int(s), i) for i, s in enumerate(rng.integers(1, 200, n))], "doc_id bigint, tokens bigint, curve bigint")
+    specs = spark.createDataFrame([("s", 64), ("m", 512), ("l", 2048)], "spec_name string, capacity_tokens int")
+    for stretches in (1, 4):
+        packed = pack(features, specs, stretches=stretches)
+        apart = packed.groupBy("spec_name", "container_id").agg(F.stddev_pop("doc_id").alias("apart")).groupBy("spec_name").agg(F.avg("apart").alias("apart"))
+        # random containers are 0.289 n apart
+        assert all(r.apart < 0.0289 * n for r in apart.collect())
+        assert all(r.fill > 0.99 for r in fill(packed, specs).collect())
+
+
 def test_raking_meets_sources_and_caps():
     cells = [Cell(s, lang, t, tokens) for s, lang, t, tokens in [("a", "en", 0, 100.0), ("a", "de", 1, 50.0), ("b", "en", 0, 10.0), ("b", "de", 1, 20.0)]]
     cap = {"a": 1, "b": 4}
@@ -82,7 +96,7 @@ def test_mix_reaches_shares(spark):
     rows += [(9000, None, "en", 0, 10), (9001, "other", "en", 0, 10), (9002, "mid", "en", 0, 0), (None, "mid", "en", 0, 9)]
     features = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, topic int, tokens bigint").withColumn("bucket", F.lit("clash"))
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("tiny", 0.1, 2), ("gone", 0.1, 3)], "source string, target_share double, repeat_cap int")
-    chosen, shares = mix(features, targets)
+    chosen, shares = mix(features, targets, budget=None)
     got = {r.source: r for r in shares.collect()}
     cap = {"big": 1, "mid": 2, "tiny": 2}
     assert all(r.copies <= cap[r.source] for r in chosen.collect())
@@ -90,7 +104,7 @@ def test_mix_reaches_shares(spark):
     assert got["big"].tokens == pytest.approx(0.5 * budget, rel=0.01) and got["mid"].tokens == pytest.approx(0.3 * budget, rel=0.01)
     assert got["tiny"].tokens == 2 * got["tiny"].available_tokens and got["gone"].tokens == 0
     assert sum(r.actual_share for r in got.values()) == pytest.approx(1)
-    exact = {r.source: r for r in mix(features, targets.where("source <> 'gone'"), budget="exact")[1].collect()}
+    exact = {r.source: r for r in mix(features, targets.where("source <> 'gone'"), max_languages=1)[1].collect()}
     assert all(r.actual_share == pytest.approx(r.target_share, abs=0.01) for r in exact.values())
     assert mix(features.limit(0), targets)[0].count() == 0 and mix(features, targets.limit(0))[1].count() == 0
 
@@ -130,6 +144,8 @@ def test_alignment():
     assert aligned_cut(" ".join(words[:55]), long) == "cut"
     assert aligned_cut(" ".join(words[:54]) + " word5", long) == "cut"
     assert aligned_cut(" ".join(words) + ".", long) == "end"
+    assert aligned_cut(" ".join(words[:15]), long) == "cut" and aligned_cut(" ".join(words), long) == "end"
+    assert aligned_cut(" ".join(words[:20]), " ".join(words[:20]) + " ") == ""
     assert aligned_cut("nothing like it at all here", long) == "" and aligned_cut("", long) == ""
 
 
@@ -160,6 +176,55 @@ def test_truncated_by_counts_over_all_documents(spark):
     rate = {r.source: (r.texts, r.cut) for r in rates(docs, found).collect()}
     assert set(rate) == {"src", None} and rate[None][1] == len(cut) and rate["src"][1] == 0
     assert truncated(docs.limit(0)).count() == 0
+    nameless = rates(docs.where("doc_id IS NULL"), found).collect()
+    assert [(r.source, r.texts, r.cut) for r in nameless] == [(None, 1, 0)]
+
+
+def test_longer_words_are_counted_however_rare_and_long(spark):
+    long = "x" * 70
+    rows = [("count", k, n) for k, n in (("frobnicate", 1), ("frobber", 1), (long + "ab", 1), (long + "cd", 2), ("x" * 64 + "y", 5))]
+    facts = spark.createDataFrame([(t, None, "word", k, n, 0, None, None, None) for t, k, n in rows] + [("ending", 1, "longer word", long, None, None, "bare", "text", None)], FACTS)
+    got = {r.key: r.n for r in corpus_counts(facts).where("stat = 'longer word'").collect()}
+    assert got["frob"] == 2 and got["frobb"] == 1 and got[long] == 3 and got["x" * 64] == 8
+
+
+def test_markers():
+    for text, body in [("a b … (Leer Más)", "a b"), ("a [...] [more]", "a"), ("…", ""), ("a… b", "a… b"), ("İ [CUT]", "İ")]:
+        assert strip_marker(text) == (body, body != text)
+
+
+def test_strongly_cut_copies_are_found(spark):
+    rng = np.random.default_rng(11)
+    rows, n = [], 200
+    for k in range(n):
+        words = [f"k{k}w{i}z{r}" for i, r in enumerate(rng.integers(0, 1_000_000, 160))]
+        copy = list(words)
+        for i in rng.integers(5, 15, 1):
+            copy[i] = "changed" if k % 2 else copy[i]
+        rows += [(2 * k, " ".join(copy[: rng.integers(50, 120)])), (2 * k + 1, " ".join(words) + ".")]
+    found = {r.doc_id: r for r in truncated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(found[2 * k].aligned == "cut" for k in range(n)) >= 0.95 * n
+    assert not any(found[2 * k + 1].is_cut for k in range(n))
+
+
+def test_strongly_cut_copies_of_a_large_bucket_are_found(spark):
+    words = [f"w{i}q" for i in range(40)]
+    rows = [(i, " ".join(words) + f" so {'abcdefghij'[i % 10]}{i} " + " ".join(f"v{i}x{j}" for j in range(80)) + " ends.") for i in range(60)]
+    rows += [(1000 + i, rows[i][1].split(" ends")[0].rsplit(" ", 60)[0]) for i in range(0, 60, 3)]
+    found = {r.doc_id: r for r in truncated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(found[1000 + i].aligned == "cut" for i in range(0, 60, 3)) and not any(found[i].is_cut for i in range(60))
+
+
+@pytest.mark.parametrize("copies", [1, 50])
+def test_an_aligned_end_is_no_cut(spark, copies):
+    words = " ".join(f"w{i % 37}x{i}" for i in range(60))
+    whole = [(20_000 + i, f"{words} see the\n\nThe next one goes on here {'abcdefghij'[i % 10]}{i} and ends.") for i in range(copies)]
+    texts = [(i, t) for i, t in enumerate(corpus(spark))]
+    short = [(10_000, f"{words} see the")]
+    found = {r.doc_id: r for r in truncated(spark.createDataFrame(texts + short, "doc_id bigint, text string")).where("doc_id >= 10000").collect()}
+    assert found[10_000].is_cut
+    found = {r.doc_id: r for r in truncated(spark.createDataFrame(texts + short + whole, "doc_id bigint, text string")).where("doc_id >= 10000").collect()}
+    assert found[10_000].aligned == "end" and (found[10_000].score < 0.5 or copies > 1) and not any(r.is_cut for r in found.values())
 
 
 def test_longer_near_copy_shows_the_cut(spark):

@@ -1,13 +1,16 @@
 """Texts that stop before their author ended them.
 
 Two kinds of evidence meet. *Alignment*: near-copies are found by min-hash banding
-over five-word shingles, verified at a Jaccard similarity of 0.8 or more and
-aligned; a copy whose alignment ends inside a sentence that the other copy goes on
-with is cut. *Terminality*: a text without a longer copy is judged by how it ends.
-An open block of code, tag, bracket or half an escape shows a cut at once, a sentence
-mark shows an end. A bare ending is scored by counts over all documents: how often
-its closing word closes units of its kind, and how often units with its opening
-words end bare.
+over five-word shingles, of whole texts and of their beginnings, so that a copy
+that lost most of its text meets the whole one too. They are aligned and verified
+at a Jaccard similarity of 0.8 or more, of the texts or of the shorter one with as
+much of the longer; a copy whose alignment ends inside a sentence that the other
+copy goes on with is cut, one that ends where the sentence does is not.
+*Terminality*: a text without a longer copy is judged by how it ends. An open
+block of code, tag, bracket or half an escape shows a cut at once, a sentence mark
+shows an end. A bare ending is scored by counts over all documents: how often its
+closing word closes units of its kind, and how often units with its opening words
+end bare. Each text is read once, for the counts, its ending and its band keys.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +32,7 @@ from treeloom.runtime import materialize
 MARKERS = ("…", "[...]", "[…]", "(...)", "(…)", "[sigue]", "(leer más)", "(sigue)", "[más]", "[more]", "(more)", "[continued]", "(continued)", "(read more)", "read more", "[weiter]", "(weiterlesen)", "[suite]", "(lire la suite)", "[truncated]", "[cut]", "<truncated>")
 SENTENCE_END = ".?!。！？"
 
-_MARKER = re.compile(r"(?:\s*(?:" + "|".join(re.escape(m) for m in sorted(MARKERS, key=len, reverse=True)) + r"))+$", re.IGNORECASE)
+_MARKERS = tuple(sorted(MARKERS, key=len, reverse=True))
 _END = re.compile(r"""[.?!。！？](?:["'”’»)\]*_]*)$""")
 _SPLIT = re.compile(r"""(?<=[.?!。！？])["'”’»)\]]*\s+""")
 _LIST = re.compile(r"^\s*(?:\d+[.)]|[-*+•])\s+")
@@ -45,15 +49,17 @@ _DIGITS = re.compile(r"\d")
 _DOTS = re.compile(r"(?<!\.)\.\.\.$")
 
 
+@lru_cache(maxsize=200_000)
 def _key(word: str) -> str:
-    return _DIGITS.sub("0", word.lower())[:64]
+    return _DIGITS.sub("0", word.lower())
 
 
 def strip_marker(text: str) -> tuple[str, bool]:
-    """The text before a trailing stand-in for a missing rest, and whether there was one."""
-    text = text.rstrip()
-    cut = _MARKER.sub("", text)
-    return cut.rstrip(), cut != text
+    """The text before trailing stand-ins for a missing rest, and whether there were any."""
+    text = cut = text.rstrip()
+    while (tail := cut[-len(_MARKERS[0]) :].lower()).endswith(_MARKERS):
+        cut = cut[: -len(next(m for m in _MARKERS if tail.endswith(m)))].rstrip()
+    return cut, cut != text
 
 
 def _open_bracket(line: str) -> bool:
@@ -73,7 +79,7 @@ def _url_key(url: str) -> str:
     if not slash:
         return "host only"
     last = path.rsplit("/", 1)[-1]
-    return "end " + ("0" * len(last) if last.isdigit() else last.lower()[:64])
+    return "end " + ("0" * len(last) if last.isdigit() else last.lower())
 
 
 def _close_of(piece: str) -> str:
@@ -97,11 +103,10 @@ class Unit:
         self.form = f"{len(words)} {self.open1}" if kind == "text" else str(len(words))
 
 
-def read_units(text: str, ending_only: bool = False) -> tuple[list[Unit], str]:
+def read_units(text: str) -> tuple[list[Unit], str]:
     """Units of a text in order, and a verdict on its ending: cut, closed or bare.
 
-    Only a bare ending needs scores; the last unit is then what it ends with. With
-    ``ending_only`` the units are those of the last paragraph, the verdict is the same.
+    Only a bare ending needs scores; the last unit is then what it ends with.
     """
     body, marked = strip_marker(text)
     lines = body.replace("\r\n", "\n").split("\n")
@@ -116,18 +121,14 @@ def read_units(text: str, ending_only: bool = False) -> tuple[list[Unit], str]:
                 units.append(Unit("code", word, "bare" if i == len(block) - 1 else "open"))
             block.clear()
 
-    last = 0
-    if ending_only:
-        last = next((i for i in range(len(lines) - 1, -1, -1) if not lines[i].strip()), 0)
-
-    for number, line in enumerate(lines):
+    for line in lines:
         if line.lstrip().startswith("```"):
             close_block()
             fenced = not fenced or line.strip() != "```" and line.count("```") % 2 == 0 and not fenced
             if line.strip().count("```") == 2:
                 fenced = False
             continue
-        if fenced or number < last:
+        if fenced:
             continue
         if _INDENTED.match(line) and not _LIST.match(line):
             block.append(line)
@@ -181,30 +182,15 @@ def read_units(text: str, ending_only: bool = False) -> tuple[list[Unit], str]:
     return units, "bare"
 
 
-_COUNTS = pa.schema([("stat", pa.string()), ("key", pa.string()), ("n", pa.int64()), ("hits", pa.int64())])
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts (stat, key, n, hits) of all units, added up within each batch before they are shuffled.
-
-    A text's last unit counts like any other, links apart: a text's own part is
-    taken off again when it is scored. Each text counts ``times`` times.
-    """
-    for batch in batches:
-        n: Counter = Counter()
-        hits: Counter = Counter()
-        for text, times in zip(batch.column("text").to_pylist(), batch.column("times").to_pylist()):
-            units = read_units(text)[0]
-            for i, u in enumerate(units):
-                bare = u.end == "bare"
-                # how links end is learned from those with something after them: last ones are cut too often
-                if u.kind == "url" and i == len(units) - 1:
-                    continue
-                for stat, key, hit in _stats(u, bare):
-                    n[stat, key] += times
-                    hits[stat, key] += hit * times
-        if n:
-            yield pa.RecordBatch.from_pydict({"stat": [k[0] for k in n], "key": [k[1] for k in n], "n": list(n.values()), "hits": [hits[k] for k in n]}, schema=_COUNTS)
+def _count_units(units: list[Unit], times: int, n: Counter, hits: Counter) -> None:
+    """Counts of a text's units. Its last one counts like any other, links apart: a text's own part is taken off again when it is scored."""
+    for i, u in enumerate(units):
+        # how links end is learned from those with something after them: last ones are cut too often
+        if u.kind == "url" and i == len(units) - 1:
+            continue
+        for stat, key, hit in _stats(u, u.end == "bare"):
+            n[stat, key] += times
+            hits[stat, key] += hit * times
 
 
 def _stats(u: Unit, bare: bool) -> Iterator[tuple[str, str, int]]:
@@ -228,101 +214,129 @@ def _stats(u: Unit, bare: bool) -> Iterator[tuple[str, str, int]]:
             yield "form bare", u.form, 1
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_words(text: str, times: int, n: Counter, hits: Counter, written: Counter) -> None:
     """How often each word stands anywhere, and how often a word or two words standing in a bare unit close it."""
-    for batch in batches:
-        n: Counter = Counter()
-        hits: Counter = Counter()
-        written: Counter = Counter()
-        for text, times in zip(batch.column("text").to_pylist(), batch.column("times").to_pylist()):
-            body, _ = strip_marker(text)
-            for w in body.split():
-                written[w] += times
-            for line in body.split("\n"):
-                if "```" in line or _INDENTED.match(line):
-                    continue
-                listed = bool(_LIST.match(line))
-                for piece in _SPLIT.split(_LIST.sub("", line.rstrip())):
-                    if not piece.strip() or _close_of(piece) != "bare" and not listed:
-                        continue
-                    stat, pair = ("in list", "pair list") if listed else ("in bare", "pair bare")
-                    ws = [_key(w) for w in piece.split()]
-                    for i, w in enumerate(ws):
-                        n[stat, w] += times
-                        hits[stat, w] += times * (i == len(ws) - 1)
-                        if i:
-                            both = ws[i - 1] + " " + w
-                            n[pair, both] += times
-                            hits[pair, both] += times * (i == len(ws) - 1)
-        for w, count in written.items():  # each different word is normalised once a batch
-            n["word", _bare_word(w)] += count
-        if n:
-            yield pa.RecordBatch.from_pydict({"stat": [k[0] for k in n], "key": [k[1] for k in n], "n": list(n.values()), "hits": [hits[k] for k in n]}, schema=_COUNTS)
+    body, _ = strip_marker(text)
+    for w in body.split():
+        written[w] += times
+    for line in body.split("\n"):
+        if "```" in line or _INDENTED.match(line):
+            continue
+        listed = bool(_LIST.match(line))
+        for piece in _SPLIT.split(_LIST.sub("", line.rstrip())):
+            if not piece.strip() or _close_of(piece) != "bare" and not listed:
+                continue
+            stat, pair = ("in list", "pair list") if listed else ("in bare", "pair bare")
+            ws = [_key(w) for w in piece.split()]
+            for i, w in enumerate(ws):
+                n[stat, w] += times
+                hits[stat, w] += times * (i == len(ws) - 1)
+                if i:
+                    both = ws[i - 1] + " " + w
+                    n[pair, both] += times
+                    hits[pair, both] += times * (i == len(ws) - 1)
 
 
 def _bare_word(word: str) -> str:
     return _key(word.strip(SENTENCE_END + ",;:()[]\"'`"))
 
 
-ENDINGS = "rep bigint, verdict string, kind string, stat string, key string"
+def _needs(text: str, u: Unit) -> tuple[str, list[tuple[str, str]]]:
+    """Kind of a bare ending and the counts it is scored by."""
+    if u.kind == "code":
+        need = [("close code", u.close)]
+    elif u.kind == "url":
+        need = [("close url", u.close), ("url", "")]
+    elif u.kind == "list":
+        need = [("in list", u.close), ("pair list", u.close2), ("form list", u.form), ("list", "")]
+    elif u.end == "dots":
+        need = [("dots2", u.open2), ("dots1", u.open1)]
+    else:
+        need = [("open2", u.open2), ("open1", u.open1), ("in bare", u.close), ("pair bare", u.close2), ("form bare", u.form), ("bare1", u.open1)]
+    word = _bare_word(text.split()[-1])
+    need += [("word", word), ("longer word", word)]
+    if u.kind == "list":
+        need += [("longer in list", u.close)]
+    return "dots" if u.end == "dots" else "inline" if u.inline and u.kind == "text" else u.kind, need
 
 
-def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, verdict, kind, stat, key): the counts each ending needs; one row with null stat where the verdict stands."""
-    schema = pa.schema([("rep", pa.int64()), ("verdict", pa.string()), ("kind", pa.string()), ("stat", pa.string()), ("key", pa.string())])
-    for batch in batches:
-        rows = []
-        for rep, text in zip(batch.column("rep").to_pylist(), batch.column("text").to_pylist()):
-            units, verdict = read_units(text, ending_only=True)
-            if verdict != "bare":
-                rows.append((rep, verdict, "", None, None))
-                continue
-            u = units[-1]
-            if u.kind == "code":
-                need = [("close code", u.close)]
-            elif u.kind == "url":
-                need = [("close url", u.close), ("url", "")]
-            elif u.kind == "list":
-                need = [("in list", u.close), ("pair list", u.close2), ("form list", u.form), ("list", "")]
-            elif u.end == "dots":
-                need = [("dots2", u.open2), ("dots1", u.open1)]
-            else:
-                need = [("open2", u.open2), ("open1", u.open1), ("in bare", u.close), ("pair bare", u.close2), ("form bare", u.form), ("bare1", u.open1)]
-            word = _bare_word(text.split()[-1])
-            need += [("word", word), ("longer word", word)]
-            if u.kind == "list":
-                need += [("longer in list", u.close)]
-            rows.extend((rep, verdict, "dots" if u.end == "dots" else "inline" if u.inline and u.kind == "text" else u.kind, s, k) for s, k in need)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+#: What is read from texts: tag "count" has stat, key, n and hits; "ending" rep, verdict, kind, stat and key, the counts
+#: it needs or null; "band" rep, n (characters), hits (1 if a longer copy is looked for) and band.
+FACTS = "tag string, rep bigint, stat string, key string, n bigint, hits bigint, verdict string, kind string, band bigint"
+_FACTS = pa.schema([("rep", pa.int64()), ("stat", pa.string()), ("key", pa.string()), ("n", pa.int64()), ("hits", pa.int64()), ("verdict", pa.string()), ("kind", pa.string()), ("band", pa.int64())])
 
 
-def corpus_counts(texts: DataFrame) -> DataFrame:
-    """(stat, key, n, hits) over all texts(text, times); "longer ..": how often words occur that go on after the key."""
-    schema = "stat string, key string, n bigint, hits bigint"
-    units = texts.select("text", "times").mapInArrow(_counts, schema)
-    words = texts.select("text", "times").mapInArrow(_words, schema)
-    total = units.unionByName(words).groupBy("stat", "key").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    total = materialize(total, "terminality")
-    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda i: F.substring("key", F.lit(1), i)))
-    vocabulary = total.where("stat IN ('word', 'in list') AND length(key) > 1 AND n >= 2")
-    longer = vocabulary.select(F.concat(F.lit("longer "), "stat").alias("stat"), prefixes.alias("key"), "n").groupBy("stat", "key").agg(F.sum("n").alias("n"))
-    return total.unionByName(longer.select("stat", "key", "n", F.lit(0).cast("bigint").alias("hits")))
+def _facts(tag: str, **columns) -> pa.RecordBatch:
+    size = len(next(iter(columns.values())))
+    arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _FACTS]
+    return pa.RecordBatch.from_arrays([pa.array([tag] * size), *arrays], names=["tag", *_FACTS.names])
 
 
-def terminality(texts: DataFrame, *, support: int = 4, phrase: int = 5) -> DataFrame:
-    """(doc_id, verdict, score): score is the share of like endings that are ends, 0 cut to 1 closed.
+def _reader(bands: int, rows: int, size: int):
+    """Everything that is wanted of texts(rep, text, times), each read once; counts are added up before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, hits, written = Counter(), Counter(), Counter()
+
+        def counts() -> Iterator[pa.RecordBatch]:
+            for w, count in written.items():  # each different word is normalised once
+                n["word", _bare_word(w)] += count
+            if n:
+                yield _facts("count", stat=[k[0] for k in n], key=[k[1] for k in n], n=list(n.values()), hits=[hits[k] for k in n])
+            for c in (n, hits, written):
+                c.clear()
+
+        for batch in batches:
+            reps, texts = batch.column("rep").to_pylist(), batch.column("text").to_pylist()
+            endings, asks = [], []
+            for rep, text, times in zip(reps, texts, batch.column("times").to_pylist()):
+                units, verdict = read_units(text)
+                _count_units(units, times, n, hits)
+                _count_words(text, times, n, hits, written)
+                asks.append(verdict != "closed")
+                if verdict == "bare":
+                    kind, need = _needs(text, units[-1])
+                    endings.extend((rep, verdict, kind, s, k) for s, k in need)
+                else:
+                    endings.append((rep, verdict, "", None, None))
+            if endings:
+                yield _facts("ending", **dict(zip(("rep", "verdict", "kind", "stat", "key"), zip(*endings))))
+            for at in range(0, len(texts), 2000):
+                bodies = [strip_marker(t)[0] for t in texts[at : at + 2000]]
+                of, keys, asking = band_rows(bodies, np.array(asks[at : at + 2000]), bands, rows, size)
+                if len(of):
+                    yield _facts("band", rep=np.array(reps[at : at + 2000])[of], n=np.fromiter(map(len, bodies), np.int64, len(bodies))[of], hits=asking.astype(np.int64), band=keys)
+            if len(n) + len(written) > 300_000:
+                yield from counts()
+        yield from counts()
+
+    return run
+
+
+def corpus_counts(facts: DataFrame, chars: int = 64) -> DataFrame:
+    """(stat, key, n, hits) over all texts; "longer ..": how often words occur that go on after the key.
+
+    Keys of up to ``chars`` characters meet longer words by their prefixes, and
+    longer keys those that begin with the same ``chars`` characters.
+    """
+    total = materialize(facts.where("tag = 'count'").groupBy("stat", "key").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")), "terminality")
+    vocabulary = total.where("stat IN ('word', 'in list') AND length(key) > 1").select(F.concat(F.lit("longer "), "stat").alias("stat"), "key", "n")
+    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("key") - 1, F.lit(chars))), lambda i: F.substring("key", F.lit(1), i)))
+    longer = vocabulary.select("stat", prefixes.alias("key"), "n").groupBy("stat", "key").agg(F.sum("n").alias("n"))
+    start = F.substring("key", 1, chars)
+    asked = facts.where((F.col("tag") == "ending") & F.col("stat").startswith("longer ") & (F.length("key") > chars)).select("stat", "key").distinct().withColumn("start", start)
+    words = vocabulary.where(F.length("key") > chars).select("stat", F.col("key").alias("word"), "n", start.alias("start"))
+    longest = asked.join(words, ["stat", "start"]).where(F.col("word").startswith(F.col("key")) & (F.col("word") != F.col("key"))).groupBy("stat", "key").agg(F.sum("n").alias("n"))
+    return total.unionByName(longer.unionByName(longest).select("stat", "key", "n", F.lit(0).cast("bigint").alias("hits")))
+
+
+def terminality(facts: DataFrame, *, support: int = 4) -> DataFrame:
+    """(rep, verdict, score): score is the share of like endings that are ends, 0 cut to 1 closed.
 
     support: fewer other cases than this leave a count undecided, and the next coarser one decides.
-    Exact copies of a text are one case, so that they are no evidence for each other. Only a text of
-    at most ``phrase`` words counts each time: it is too short to be a copy and written anew.
     """
-    reps = texts.select("doc_id", F.xxhash64("text").alias("rep"), "text")
-    distinct = reps.groupBy("rep").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    short = F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ")) <= phrase
-    distinct = materialize(distinct.select("rep", "text", F.when(short, F.col("copies")).otherwise(F.lit(1)).cast("bigint").alias("times")), "counted")
-    counts = corpus_counts(distinct)
-    need = distinct.select("rep", "text").mapInArrow(_endings, ENDINGS)
+    counts = corpus_counts(facts)
+    need = facts.where("tag = 'ending'").select("rep", "verdict", "kind", "stat", "key")
     joined = need.join(counts, ["stat", "key"], "left")
     stat = lambda s, c: F.max(F.when(F.col("stat") == s, F.coalesce(F.col(c), F.lit(0))))
     names = ["close code", "close url", "url", "in list", "pair list", "form list", "list", "dots2", "dots1", "open2", "open1", "in bare", "pair bare", "form bare", "bare1", "word", "longer word", "longer in list"]
@@ -353,53 +367,96 @@ def terminality(texts: DataFrame, *, support: int = 4, phrase: int = 5) -> DataF
         .when(F.col("kind") == "dots", dotted)
         .otherwise(F.sqrt(opening * F.least(closing, F.lit(1.0))))
     )
-    scored = wide.select("rep", "verdict", F.least(score, F.lit(1.0)).cast("double").alias("score"))
-    return reps.select("doc_id", "rep").join(scored, "rep").select("doc_id", "verdict", "score")
+    return wide.select("rep", "verdict", F.least(score, F.lit(1.0)).cast("double").alias("score"))
 
 
 # --- near-copies -----------------------------------------------------------------------------------------------------
 
-_PRIME = np.uint64((1 << 61) - 1)
+#: Words of the beginnings that have band keys of their own: these and their doubles. Bands of a beginning, rows of each.
+HEAD, HEAD_BANDS, HEAD_ROWS = 16, 8, 3
 
-
-def _shingle_hashes(text: str, size: int) -> np.ndarray:
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    grams = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
-    return np.unique(np.fromiter((_hash64(g) for g in grams), np.uint64, len(grams)))
+_ODD = np.uint64(0xBF58476D1CE4E5B9)
 
 
+@lru_cache(maxsize=200_000)
 def _hash64(text: str) -> int:
     import xxhash
 
     return xxhash.xxh3_64_intdigest(text)
 
 
-def _bander(bands: int, rows: int, size: int):
-    rng = np.random.default_rng(8)
-    a = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _ODD
+    return x ^ (x >> np.uint64(29))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys, lengths = [], [], []
-            for rep, text in zip(batch.column("rep").to_pylist(), batch.column("text").to_pylist()):
-                h = _shingle_hashes(strip_marker(text)[0], size)
-                if not len(h):
-                    continue
-                mins = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-                for part in np.array_split(h, max(1, len(h) // 4096)):  # long texts in pieces, to bound memory
-                    mixed = part[:, None] * a[None, :] + b[None, :]
-                    mixed ^= mixed >> np.uint64(29)
-                    mins = np.minimum(mins, (mixed * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0))
-                for i in range(bands):
-                    ids.append(rep)
-                    keys.append(_hash64(f"{i}:" + mins[i * rows : (i + 1) * rows].tobytes().hex()) - (1 << 63))
-                    lengths.append(len(text))
-            yield pa.RecordBatch.from_pydict({"rep": pa.array(ids, pa.int64()), "band": pa.array(keys, pa.int64()), "chars": pa.array(lengths, pa.int64())})
 
-    return run
+def _shingles(words: list[str], size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, in order; of all words if there are fewer."""
+    h = np.fromiter((_hash64(w.lower()) for w in words), np.uint64, len(words))
+    if len(h) <= 1:
+        return h
+    width = min(size, len(h))
+    out = h[: len(h) - width + 1].copy()
+    for i in range(1, width):
+        out = _mix(out) + h[i : len(h) - width + 1 + i]
+    return _mix(out)
+
+
+def _heads(words: int) -> list[int]:
+    """Lengths of the beginnings of a text of so many words that have band keys."""
+    return [HEAD << i for i in range(max(0, words // HEAD).bit_length())]
+
+
+def band_rows(bodies: list[str], asks: np.ndarray, bands: int, rows: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the body, band key, whether it asks): bands of min-hash values of whole bodies and of their beginnings.
+
+    A body that asks for a longer copy does so by its whole and by its longest
+    beginning, which a copy of up to twice its length shares; it answers by all.
+    """
+    hashes, lengths, text_of, level_of, last = [], [], [], [], []
+    for i, body in enumerate(bodies):
+        words = body.split()
+        h = _shingles(words, size)
+        if not len(h):
+            continue
+        # parts between the ends of the beginnings
+        ends = [n - size + 1 for n in _heads(len(words))]
+        for level, part in enumerate(np.split(h, ends)):
+            if len(part):
+                hashes.append(part)
+                lengths.append(len(part))
+                text_of.append(i)
+                level_of.append(level)
+        last.append(len(lengths) - 1)
+    if not hashes:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    h, starts = np.concatenate(hashes), np.r_[0, np.cumsum(lengths)[:-1]]
+    text_of, level_of, last = np.array(text_of), np.array(level_of), np.array(last)
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+    mins = np.empty((len(starts), bands * rows), np.uint64)
+    for j in range(bands * rows):
+        mins[:, j] = np.minimum.reduceat(_mix(h * a[j] + b[j]), starts)
+    for level in range(1, level_of.max() + 1):
+        at = np.flatnonzero(level_of == level)
+        mins[at] = np.minimum(mins[at], mins[at - 1])
+    whole = _keys(mins[last], bands, rows, 0)
+    out = [(np.repeat(text_of[last], bands), whole.ravel(), np.repeat(asks[text_of[last]], bands))]
+    words = np.array([len(body.split()) for body in bodies])
+    for level in range(level_of.max() + 1):
+        # the part of this level ends the beginning of HEAD << level words, if the text has as many
+        at = np.flatnonzero((level_of == level) & (words[text_of] >= HEAD << level))
+        longest = words[text_of[at]] < HEAD << (level + 1)
+        keys = _keys(mins[at, : HEAD_BANDS * HEAD_ROWS], HEAD_BANDS, HEAD_ROWS, level + 1)
+        out.append((np.repeat(text_of[at], HEAD_BANDS), keys.ravel(), np.repeat(asks[text_of[at]] & longest, HEAD_BANDS)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _keys(mins: np.ndarray, bands: int, rows: int, level: int) -> np.ndarray:
+    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(1000 * level), (len(mins), bands))
+    for r in range(rows):
+        keys = _mix(keys + mins.reshape(len(mins), bands, rows)[:, :, r])
+    return keys.view(np.int64)
 
 
 def _align(size: int, threshold: float):
@@ -410,27 +467,35 @@ def _align(size: int, threshold: float):
 
 
 def aligned_cut(short: str, long: str, size: int = 5, threshold: float = 0.8) -> str:
-    """How a text ends beside a longer near-copy: "cut" inside a sentence, "end" at its end, "" if they are no near-copies or do not align."""
-    x, y = _shingle_hashes(strip_marker(short)[0], size), _shingle_hashes(strip_marker(long)[0], size)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    if both == 0 or both < threshold * (len(x) + len(y) - both):
+    """How a text ends beside a longer near-copy: "cut" inside a sentence that this one goes on with, "end" where a sentence
+    or line of this one ends and more follows, "" if they are no near-copies, do not align or end alike.
+
+    Near-copies are similar as a whole, or the shorter one is to the longer up to where they are aligned.
+    """
+    words, other = strip_marker(short)[0].split(), strip_marker(long)[0].split()
+    if len(words) < 4 or len(other) < 4:
         return ""
-    body = strip_marker(short)[0]
-    words, other = body.split(), strip_marker(long)[0].split()
     # where the short copy's last words stand in the long one: the last may be half a word
-    if len(words) < 4:
-        return ""
     probe, last = words[-4:-1], words[-1]
-    for i in range(len(other) - 4, -1, -1):
-        if other[i : i + 3] == probe and other[i + 3].startswith(last):
-            whole = other[i + 3]
-            if len(whole) > len(last):
-                rest = whole[len(last) :]
-                return "cut" if rest.strip(SENTENCE_END + "\"'") or not rest else "end"
-            if i + 4 >= len(other):
-                return "end"
-            return "end" if _END.search(last) or _line_break_after(long, other, i + 3) else "cut"
-    return ""
+    found = [i for i in range(len(other) - 3) if other[i + 3].startswith(last) and other[i : i + 3] == probe]
+    if not found:
+        return ""
+    x, y = np.unique(_shingles(words, size)), _shingles(other, size)
+    new = np.zeros(len(y), bool)
+    new[np.unique(y, return_index=True)[1]] = True
+    different, both = np.cumsum(new), np.cumsum(new & np.isin(y, x))
+    similar = both / (len(x) + different - both)
+    upto = np.clip(np.array(found) + 4 - size, 0, len(y) - 1)
+    found = [i for i, s in zip(found, similar[upto]) if max(s, similar[-1]) >= threshold]
+    if not found:
+        return ""
+    i = min(found, key=lambda i: abs(i + 4 - len(words)))
+    whole = other[i + 3]
+    if whole[len(last) :].strip(SENTENCE_END + "\"'"):
+        return "cut"
+    if i + 4 >= len(other):
+        return ""
+    return "end" if _END.search(whole) or _line_break_after(long, other, i + 3) else "cut"
 
 
 def _line_break_after(text: str, words: list[str], index: int) -> bool:
@@ -443,157 +508,158 @@ def _line_break_after(text: str, words: list[str], index: int) -> bool:
     return True
 
 
-_RUNS = "rep bigint, run bigint, next string, core int, goes_on boolean, shingles int, chars bigint"
-
-
-def _runs(size: int):
-    """(rep, run, next, core, goes_on, shingles, chars): each three words in a row of a text, by hash, and the word after them.
-
-    core is the length of the next word without sentence marks and quotes;
-    goes_on tells whether its sentence and line go on after it.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("rep", pa.int64()), ("run", pa.int64()), ("next", pa.string()), ("core", pa.int32()), ("goes_on", pa.bool_()), ("shingles", pa.int32()), ("chars", pa.int64())])
-        for batch in batches:
-            rows: list[tuple] = []
-            for rep, text in zip(batch.column("rep").to_pylist(), batch.column("text").to_pylist()):
-                body = strip_marker(text)[0]
-                shingles, found = len(_shingle_hashes(body, size)), set()
-                words = body.split()
-                last_of_line = set(np.cumsum([len(line.split()) for line in text.split("\n")]) - 1)
-                for i in range(len(words) - 3):
-                    word = words[i + 3]
-                    goes_on = i + 4 < len(words) and not _END.search(word) and i + 3 not in last_of_line
-                    found.add((_run_hash(words[i : i + 3]), word, goes_on))
-                rows.extend((rep, h, w, len(w.rstrip(SENTENCE_END + "\"'")), g, shingles, len(text)) for h, w, g in found)
-                if len(rows) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-    return run
+_RUNS = "rep bigint, run bigint, next string, core int, goes_on boolean, chars bigint"
 
 
 def _run_hash(words: list[str]) -> int:
     return _hash64(" ".join(words)) - (1 << 63)
 
 
-def _last_run(size: int):
-    """(rep, run, last, shingles, chars): the three words before a text's last one, by hash, and the last one."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, run, next, core, goes_on, chars): each three words in a row of a text, by hash, and the word after them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("rep", pa.int64()), ("run", pa.int64()), ("last", pa.string()), ("shingles", pa.int32()), ("chars", pa.int64())])
-        for batch in batches:
-            rows = []
-            for rep, text in zip(batch.column("rep").to_pylist(), batch.column("text").to_pylist()):
-                body = strip_marker(text)[0]
-                words = body.split()
-                if len(words) >= 4:
-                    rows.append((rep, _run_hash(words[-4:-1]), words[-1], len(_shingle_hashes(body, size)), len(text)))
-            if rows:
+    core is the length of the next word without sentence marks and quotes; goes_on
+    tells whether its sentence and line go on after it, null if no word follows.
+    """
+    schema = pa.schema([("rep", pa.int64()), ("run", pa.int64()), ("next", pa.string()), ("core", pa.int32()), ("goes_on", pa.bool_()), ("chars", pa.int64())])
+    for batch in batches:
+        rows: list[tuple] = []
+        for rep, text in zip(batch.column("rep").to_pylist(), batch.column("text").to_pylist()):
+            body, found = strip_marker(text)[0], set()
+            words = body.split()
+            last_of_line = set(np.cumsum([len(line.split()) for line in text.split("\n")]) - 1)
+            for i in range(len(words) - 3):
+                word = words[i + 3]
+                goes_on = not _END.search(word) and i + 3 not in last_of_line if i + 4 < len(words) else None
+                found.add((_run_hash(words[i : i + 3]), word, goes_on))
+            rows.extend((rep, h, w, len(w.rstrip(SENTENCE_END + "\"'")), g, len(body)) for h, w, g in found)
+            if len(rows) >= 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return run
+
+def _last_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, run, last, chars): the three words before a text's last one, by hash, and the last one."""
+    schema = pa.schema([("rep", pa.int64()), ("run", pa.int64()), ("last", pa.string()), ("chars", pa.int64())])
+    for batch in batches:
+        rows = []
+        for rep, text in zip(batch.column("rep").to_pylist(), batch.column("text").to_pylist()):
+            body = strip_marker(text)[0]
+            words = body.split()
+            if len(words) >= 4:
+                rows.append((rep, _run_hash(words[-4:-1]), words[-1], len(body)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def _seek(size: int, threshold: float):
-    """(rep, aligned) of the texts that wait in a group and are cut by one of the longer texts that come after them."""
+    """(rep, aligned) of the texts that wait in a group for what one of the longer texts that come after them shows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, waiting = None, []
         for batch in batches:
             done = []
-            for key, rep, whole, chars, shingles, text in zip(*(batch.column(c).to_pylist() for c in ("grp", "rep", "is_whole", "chars", "shingles", "text"))):
+            for key, kind, rep, whole, chars, text in zip(*(batch.column(c).to_pylist() for c in ("grp", "kind", "rep", "is_whole", "chars", "text"))):
                 if key != group:
                     group, waiting = key, []
                 if not whole:
-                    waiting.append((rep, chars, shingles, text))
+                    waiting.append((rep, chars, text))
                     continue
                 left = []
                 for x in waiting:
-                    fits = x[1] < chars and min(x[2], shingles) >= threshold * max(x[2], shingles)
-                    if fits and aligned_cut(x[3], text, size, threshold) == "cut":
-                        done.append(x[0])
+                    if x[1] < chars and aligned_cut(x[2], text, size, threshold) == kind:
+                        done.append((x[0], kind))
                     else:
                         left.append(x)
                 waiting = left
-            yield pa.RecordBatch.from_pydict({"rep": pa.array(done, pa.int64()), "aligned": pa.array(["cut"] * len(done), pa.string())})
+            yield pa.RecordBatch.from_pydict({"rep": pa.array([d[0] for d in done], pa.int64()), "aligned": pa.array([d[1] for d in done], pa.string())})
 
     return run
 
 
-def cut_by_index(texts: DataFrame, shingle: int, threshold: float, *, room: int = 500, starts: int = 64, salts: int = 16) -> DataFrame:
-    """(rep, aligned) of the texts(rep, text) that a longer near-copy among them shows to be cut, however many there are.
+def aligned_by_index(texts: DataFrame, shingle: int, threshold: float, *, room: int = 500, starts: int = 64, salts: int = 16) -> DataFrame:
+    """(rep, aligned) of the texts(rep, text, asks) that ask and end early beside a longer near-copy among them, however many there are.
 
     A text's last four words are looked up among all runs of four words, the last
-    word as the beginning of one, where the sentence goes on. Neither the order nor
-    the beginning of the texts matters. First only words meet, then texts: about
+    word as the beginning of one, where text follows. Neither the order nor the
+    beginning of the texts matters. First only words meet, then texts: about
     ``room`` of one ending wait in a group while the longer ones pass by, shortest
-    first, so a group's memory is bounded and a text waits for its first proof only.
-    Of last words over ``starts`` characters the beginning finds the run.
+    first, so a group's memory is bounded and a text waits for its first proof only,
+    once for a cut and once for an end. Of last words over ``starts`` characters the
+    beginning finds the run.
     """
-    endings = materialize(texts.mapInArrow(_last_run(shingle), "rep bigint, run bigint, last string, shingles int, chars bigint"), "endings")
+    endings = materialize(texts.where("asks").select("rep", "text").mapInArrow(_last_run, "rep bigint, run bigint, last string, chars bigint"), "endings")
     endings = endings.withColumn("start", F.substring("last", 1, starts))
     salted = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     wanted = endings.groupBy("run").agg(F.collect_set(F.length("start")).alias("lengths")).select("run", "lengths", salted.alias("salt"))
-    runs = texts.mapInArrow(_runs(shingle), _RUNS).withColumn("salt", F.pmod(F.hash("rep"), F.lit(salts)))
+    runs = texts.select("rep", "text").mapInArrow(_runs, _RUNS).withColumn("salt", F.pmod(F.hash("rep"), F.lit(salts)))
     begun = F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("next")), lambda n: F.substring(F.col("next"), F.lit(1), n)))
-    met = materialize(runs.join(wanted, ["run", "salt"]).select("rep", "run", "next", "core", "goes_on", "shingles", "chars", begun.alias("start")), "runs")
+    met = materialize(runs.join(wanted, ["run", "salt"]).select("rep", "run", "next", "core", "goes_on", "chars", begun.alias("start")), "runs")
     # an ending that no text goes on with leaves here, before any texts are paired
     x, y = endings.select("run", "start", "last").distinct().alias("x"), met.select("run", "start", "next", "core", "goes_on").distinct().alias("y")
-    goes_on = F.col("y.next").startswith(F.col("x.last")) & ((F.col("y.core") > F.length("x.last")) | ((F.col("y.next") == F.col("x.last")) & F.col("y.goes_on")))
-    same = (F.col("x.run") == F.col("y.run")) & (F.col("x.start") == F.col("y.start"))
-    proofs = materialize(x.join(y, same & goes_on).select("x.run", "last", "next", "goes_on"), "proofs")
-    open_endings = endings.join(proofs.select("run", "last").distinct(), ["run", "last"])
-    groups = open_endings.groupBy("run", "last").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("parts"))
-    grp = F.xxhash64("run", "last", "part").alias("grp")
-    waiting = open_endings.join(groups, ["run", "last"]).withColumn("part", F.pmod(F.hash("rep"), F.col("parts"))).select(grp, "rep", F.lit(False).alias("is_whole"), "chars", "shingles")
-    carriers = met.select("run", "next", "goes_on", "rep", "chars", "shingles").distinct().join(proofs, ["run", "next", "goes_on"]).select("run", "last", "rep", "chars", "shingles").distinct()
-    passing = carriers.join(groups, ["run", "last"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(grp, "rep", F.lit(True).alias("is_whole"), "chars", "shingles")
+    same = (F.col("x.run") == F.col("y.run")) & (F.col("x.start") == F.col("y.start")) & F.col("y.next").startswith(F.col("x.last"))
+    kind = F.when((F.col("core") > F.length("last")) | F.col("goes_on"), "cut").when(~F.col("goes_on"), "end")
+    proofs = materialize(x.join(y, same).select("x.run", "last", "next", F.coalesce(F.col("goes_on").cast("int"), F.lit(-1)).alias("goes_on"), kind.alias("kind")).where("kind IS NOT NULL"), "proofs")
+    by = ["run", "last", "kind"]
+    open_endings = endings.join(proofs.select(*by).distinct(), ["run", "last"])
+    groups = open_endings.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("parts"))
+    grp = F.xxhash64(*by, "part").alias("grp")
+    waiting = open_endings.join(groups, by).withColumn("part", F.pmod(F.hash("rep"), F.col("parts"))).select(grp, "kind", "rep", F.lit(False).alias("is_whole"), "chars")
+    carriers = met.select("run", "next", F.coalesce(F.col("goes_on").cast("int"), F.lit(-1)).alias("goes_on"), "rep", "chars").distinct()
+    carriers = carriers.join(proofs, ["run", "next", "goes_on"]).select(*by, "rep", "chars").distinct()
+    passing = carriers.join(groups, by).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(grp, "kind", "rep", F.lit(True).alias("is_whole"), "chars")
     rows = waiting.unionByName(passing).join(texts.select("rep", "text"), "rep")
     ordered = rows.repartition("grp").sortWithinPartitions("grp", "is_whole", "chars")
     return ordered.mapInArrow(_seek(shingle, threshold), "rep bigint, aligned string")
 
 
-def near_copy_endings(texts: DataFrame, *, bands: int = 20, rows: int = 5, shingle: int = 5, threshold: float = 0.8, small: int = 32) -> DataFrame:
-    """(doc_id, aligned): "cut" or "end" for documents with a longer near-copy, by the text's hash.
+def near_copy_endings(facts: DataFrame, distinct: DataFrame, *, shingle: int = 5, threshold: float = 0.8, small: int = 32) -> DataFrame:
+    """(rep, aligned): "cut" or "end" for texts that end early beside a longer near-copy.
 
-    Exact copies meet as one text. A bucket of up to ``small`` texts compares each
-    with the longer ones. Texts of larger ones are looked up by their endings
-    (``cut_by_index``), which finds every cut; an "end", which decides nothing, is
-    not looked for there.
+    A bucket of up to ``small`` texts compares each that asks with the longer ones.
+    Texts of larger ones are looked up by their endings, with the same result.
     """
-    reps = texts.select("doc_id", F.xxhash64("text").alias("rep"), "text")
-    distinct = materialize(reps.groupBy("rep").agg(F.first("text").alias("text")), "texts")
-    banded = materialize(distinct.mapInArrow(_bander(bands, rows, shingle), "rep bigint, band bigint, chars bigint"), "bands")
-    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = banded.join(sizes, "band")
-    cold = met.where(F.col("n") <= small).select("band", "rep", "chars")
-    hot = materialize(met.where(F.col("n") > small).select("rep").distinct().join(distinct, "rep"), "hot")
-    x, y = cold.alias("x"), cold.alias("y")
-    longer = (F.col("x.chars") < F.col("y.chars")) & (F.col("x.band") == F.col("y.band"))
-    pairs = x.join(y, longer).select(F.col("x.rep").alias("rep"), F.col("y.rep").alias("other")).distinct()
-    both = pairs.join(distinct, "rep").join(distinct.select(F.col("rep").alias("other"), F.col("text").alias("whole")), "other")
+    banded = facts.where("tag = 'band'").select("band", "rep", F.col("n").alias("chars"), (F.col("hits") > 0).alias("asks"))
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asked")).where("n > 1 AND asked").drop("asked")
+    met = materialize(banded.join(sizes, "band"), "met")
+    cold = met.where(F.col("n") <= small)
+    x, y = cold.where("asks").alias("x"), cold.alias("y")
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.chars") < F.col("y.chars"))).select(F.col("x.rep").alias("rep"), F.col("y.rep").alias("other")).distinct()
+    texts = distinct.select("rep", "text")
+    both = pairs.join(texts, "rep").join(texts.select(F.col("rep").alias("other"), F.col("text").alias("whole")), "other")
     judged = both.select("rep", _align(shingle, threshold)(F.col("text"), F.col("whole")).alias("aligned")).where("aligned <> ''")
-    verdict = judged.unionByName(cut_by_index(hot, shingle, threshold)).groupBy("rep").agg(F.min("aligned").alias("aligned"))
-    return reps.select("doc_id", "rep").join(verdict, "rep").select("doc_id", "aligned")
+    large = met.where(F.col("n") > small).groupBy("rep").agg(F.max("asks").alias("asks"))
+    if not large.isEmpty():
+        judged = judged.unionByName(aligned_by_index(materialize(large.join(texts, "rep"), "large"), shingle, threshold))
+    return judged.groupBy("rep").agg(F.min("aligned").alias("aligned"))
 
 
-def truncated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", cutoff: float = 0.5) -> DataFrame:
+def truncated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", cutoff: float = 0.5, phrase: int = 5, bands: int = 20, rows: int = 5, shingle: int = 5) -> DataFrame:
     """(doc_id, score, aligned, is_cut) of every document whose text is not null or blank.
 
-    is_cut: a longer near-copy goes on inside the sentence, or the ending's score
-    is below ``cutoff``. Repeated doc_id are judged text by text and cut if any is.
-    A null doc_id keeps its row. Texts are read whole, however long; an empty table
-    gives no row; further columns are ignored.
+    is_cut: a longer near-copy goes on inside the sentence; or the ending is open by
+    itself; or its score is below ``cutoff`` and no longer near-copy's sentence ends
+    there. Repeated doc_id are judged text by text and cut if any is. A null doc_id
+    keeps its row. Texts are read whole, however long; an empty table gives no row;
+    further columns are ignored.
+
+    phrase: exact copies of a text are one case, so that they are no evidence for
+    each other. Only a text of at most so many words counts each time: it is too
+    short to be a copy and written anew.
     """
     texts = docs.where(F.col(text).isNotNull() & F.col(text).rlike(r"[^\s\p{Z}]")).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    scored = terminality(texts).groupBy("doc_id").agg(F.min("score").alias("score"))
-    aligned = near_copy_endings(texts).groupBy("doc_id").agg(F.min("aligned").alias("aligned"))
-    joined = scored.join(aligned.withColumnRenamed("doc_id", "a_doc"), F.col("doc_id").eqNullSafe(F.col("a_doc")), "left")
-    return joined.select("doc_id", "score", "aligned", ((F.col("score") < cutoff) | (F.coalesce("aligned", F.lit("")) == "cut")).alias("is_cut"))
+    reps = texts.select("doc_id", F.xxhash64("text").alias("rep"), "text")
+    distinct = reps.groupBy("rep", "text").agg(F.count(F.lit(1)).alias("copies"))
+    short = F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ")) <= phrase
+    distinct = materialize(distinct.select("rep", "text", F.when(short, F.col("copies")).otherwise(F.lit(1)).cast("bigint").alias("times")), "texts")
+    facts = materialize(distinct.mapInArrow(_reader(bands, rows, shingle), FACTS), "facts", partition_by=["tag"])
+    judged = terminality(facts).join(near_copy_endings(facts, distinct, shingle=shingle), "rep", "left")
+    aligned = F.coalesce("aligned", F.lit(""))
+    is_cut = (aligned == "cut") | (F.col("verdict") == "cut") | ((F.col("score") < cutoff) & (aligned != "end"))
+    judged = judged.select("rep", "score", "aligned", is_cut.alias("is_cut"))
+    return reps.select("doc_id", "rep").join(judged, "rep").groupBy("doc_id").agg(F.min("score").alias("score"), F.min("aligned").alias("aligned"), F.max("is_cut").alias("is_cut"))
 
 
 def source_name(column: Column) -> Column:
@@ -601,7 +667,7 @@ def source_name(column: Column) -> Column:
 
 
 def rates(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """(source, texts, cut, rate); sources are compared without case and outer blanks, null is a source of its own."""
+    """(source, texts, cut, rate); sources are compared without case and outer blanks, null is a source of its own, and so is a null doc_id a document."""
     flags = found.select(F.col("doc_id").alias("f_doc"), "is_cut")
-    joined = docs.select(doc_id, source_name(F.col(source)).alias("source")).join(flags, F.col(doc_id) == F.col("f_doc"))
+    joined = docs.select(doc_id, source_name(F.col(source)).alias("source")).join(flags, F.col(doc_id).eqNullSafe(F.col("f_doc")))
     return joined.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("is_cut").cast("bigint")).alias("cut")).withColumn("rate", F.col("cut") / F.col("texts"))
