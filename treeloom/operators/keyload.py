@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,33 +20,42 @@ from pyspark.sql import functions as F
 from treeloom.runtime import materialize
 
 
+_STATES = pa.schema(
+    [("key", pa.string()), ("chunk", pa.int64()), ("pid", pa.int64()), ("position", pa.int64()), ("rows", pa.int64()), ("items", pa.int64()), ("first_item", pa.string()), ("last_item", pa.string())]
+)
+
+
 def _chunk_states(chunk_rows: int):
-    """Arrow batches of one sorted partition in, one row for each (key, chunk, piece) out."""
+    """Arrow batches of sorted rows in, one state for each run of rows of one key and chunk out, however many batches it spans."""
+
+    def emit(states: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*states), _STATES)], schema=_STATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: list[list] = []
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            df = batch.to_pandas()
-            chunk = (df["offset"].to_numpy(np.int64) + df["position"].to_numpy(np.int64)) // chunk_rows
-            key, item = df["key"].to_numpy(object), df["item"].to_numpy(object)
-            pid = df["pid"].to_numpy(np.int64)
+            key, item = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "item"))
+            pid, position, offset = (batch.column(c).to_numpy() for c in ("pid", "position", "offset"))
+            chunk = (offset + position) // chunk_rows
             cut = np.r_[True, (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]) | (pid[1:] != pid[:-1])]
             fresh = cut | np.r_[True, item[1:] != item[:-1]]
             start = np.flatnonzero(cut)
-            end = np.r_[start[1:], len(df)] - 1
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "key": pa.array(key[start], pa.string()),
-                    "chunk": pa.array(chunk[start], pa.int64()),
-                    "pid": pa.array(pid[start], pa.int64()),
-                    "position": pa.array(df["position"].to_numpy(np.int64)[start], pa.int64()),
-                    "rows": pa.array(end - start + 1, pa.int64()),
-                    "items": pa.array(np.add.reduceat(fresh.astype(np.int64), start), pa.int64()),
-                    "first_item": pa.array(item[start], pa.string()),
-                    "last_item": pa.array(item[end], pa.string()),
-                }
-            )
+            end = np.r_[start[1:], len(key)] - 1
+            items = np.add.reduceat(fresh.astype(np.int64), start)
+            found = [list(s) for s in zip(key[start], chunk[start].tolist(), pid[start].tolist(), position[start].tolist(), (end - start + 1).tolist(), items.tolist(), item[start], item[end])]
+            if states and states[-1][:3] == found[0][:3] and states[-1][3] + states[-1][4] == found[0][3]:
+                last, head = states[-1], found.pop(0)
+                last[4] += head[4]
+                last[5] += head[5] - (last[7] == head[6])
+                last[7] = head[7]
+            states += found
+            if len(states) > 10_000:
+                yield emit(states[:-1])
+                del states[:-1]
+        if states:
+            yield emit(states)
 
     return run
 
@@ -122,5 +130,6 @@ def per_key_counts(df: DataFrame, key: str, item: str, *, chunk_rows: int = 100_
 
 def dominant_keys(counts: DataFrame, share: float) -> DataFrame:
     """Keys that hold at least ``share`` of all items; the total is joined as a one-row aggregate."""
+    counts = materialize(counts, "counts")  # used twice
     total = counts.agg(F.sum("items").alias("total"))
     return counts.crossJoin(F.broadcast(total)).where((F.col("items") > 0) & (F.col("items") >= share * F.col("total"))).drop("total")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from treeloom.operators.keyload import dominant_keys, per_key_counts
 from treeloom.operators.orphans import orphan_references, orphan_report
 from treeloom.operators.shred import post_links, users_and_posts
-from treeloom.runtime import table
+from treeloom.runtime import materialize, table
 
 #: child table, reference, parent table
 REFERENCES = [("line_items_77", "order_id", "orders_77"), ("posts_a", "user_id", "users_a"), ("items", "tag_id", "tags")]
@@ -43,7 +43,8 @@ def p3_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _key_counts(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
-    posts = p3_found(spark, sf_dir).select("user_id", "post_id")
+    # range partitioning reads its input twice, once for the sample
+    posts = materialize(p3_found(spark, sf_dir).select("user_id", "post_id"), "posts")
     return [
         ("line_items_85", per_key_counts(table(spark, sf_dir, "line_items_85").where("id IS NOT NULL"), "order_id", "id")),
         ("posts", per_key_counts(posts, "user_id", "post_id")),
@@ -79,7 +80,36 @@ _ORPHANS = " UNION ALL ".join(
     for child, ref, parent in REFERENCES
 )
 
+#: What rows of bodies are: opened if they are JSON text, their type, their own id, and whether their keys are ids.
+_READ = """(SELECT *, json_type(o) AS typ, coalesce(CASE WHEN trim(o->>'$.id') <> '' THEN o->>'$.id' END, map_key) AS own_id,
+    coalesce(held AND entity IS NOT NULL AND json_type(o) = 'OBJECT' AND len(json_keys(o)) > 0 AND NOT list_has_any(json_keys(o), ['id', 'user_id', 'name', 'title', 'users', 'posts', 'replies'])
+      AND (SELECT bool_and(coalesce(json_type(x.value), 'NULL') IN ('OBJECT', 'NULL')
+        OR CASE WHEN json_type(x.value) = 'VARCHAR' AND json_valid(x.value->>'$') THEN json_type(x.value->>'$') = 'OBJECT' ELSE false END) FROM json_each(o) x), false) AS is_map
+  FROM (SELECT *, CASE WHEN json_type(v) = 'VARCHAR' AND left(ltrim(v->>'$'), 1) IN ('{', '[') AND json_valid(v->>'$') THEN (v->>'$')::JSON ELSE v END AS o FROM nodes))"""
+
+#: What the engine of the SQL reads as JSON and is none: commas before an end, numbers that are none.
+_STRICT = r"""NOT regexp_matches(regexp_replace(body, '"(\\.|[^"\\])*"', '""', 'g'), ',\s*[}\]]|NaN|Infinity')"""
+
+_SHRED = f"""nodes(raw_no, v, entity, held, map_key, owner) AS (
+    SELECT raw_no, body::JSON, NULL::VARCHAR, false, NULL::VARCHAR, NULL::VARCHAR FROM raw_docs WHERE json_valid(body) AND {_STRICT}
+    UNION ALL
+    SELECT raw_no, e.value,
+      CASE WHEN typ = 'ARRAY' OR is_map THEN entity WHEN e.key = 'users' THEN 'user' WHEN e.key IN ('posts', 'replies') THEN 'post' END,
+      CASE WHEN typ = 'ARRAY' THEN entity IS NOT NULL AND json_type(e.value) = 'ARRAY' ELSE NOT is_map AND e.key IN ('users', 'posts', 'replies') END,
+      CASE WHEN is_map THEN e.key END,
+      CASE WHEN typ = 'OBJECT' AND NOT is_map AND entity = 'user' THEN own_id ELSE owner END
+    FROM {_READ} p, json_each(p.o) e WHERE typ IN ('OBJECT', 'ARRAY')),
+  objects AS (SELECT *, o->>'$.name' AS name, CASE WHEN trim(o->>'$.user_id') <> '' THEN o->>'$.user_id' ELSE owner END AS post_owner FROM {_READ} WHERE typ = 'OBJECT' AND NOT is_map),
+  links AS (SELECT DISTINCT raw_no, post_owner AS user_id, own_id AS post_id FROM objects WHERE entity = 'post' AND own_id IS NOT NULL AND post_owner IS NOT NULL),
+  counts AS (SELECT 'line_items_85' AS table_name, order_id::VARCHAR AS key_text, count(DISTINCT id) AS distinct_rows FROM line_items_85 WHERE order_id IS NOT NULL AND id IS NOT NULL GROUP BY order_id
+    UNION ALL SELECT 'posts', user_id, count(DISTINCT post_id) FROM links GROUP BY user_id)"""
+
 SQL: dict[str, str] = {
+    "p3_found": f"WITH RECURSIVE {_SHRED} SELECT * FROM links",
+    "p3_users": f"WITH RECURSIVE {_SHRED} SELECT raw_no, own_id AS user_id, max(name) AS name FROM objects WHERE entity = 'user' AND own_id IS NOT NULL GROUP BY ALL",
+    "p4_found": f"""WITH RECURSIVE {_SHRED}
+      SELECT table_name, key_text FROM (SELECT *, sum(distinct_rows) OVER (PARTITION BY table_name) AS total FROM counts) WHERE distinct_rows >= {DOMINANT} * total""",
+    "p4_counts": f"WITH RECURSIVE {_SHRED} SELECT * FROM counts",
     "p2_found": _ORPHANS,
     "p2_report": f"SELECT table_name, created_month, kind, count(*) AS cases FROM ({_ORPHANS}) GROUP BY 1, 2, 3",
 }
