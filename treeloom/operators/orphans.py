@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.runtime import ship
+
 NEVER = np.iinfo(np.int64).max
 SINCE_EVER = np.iinfo(np.int64).min
 
@@ -144,6 +146,7 @@ def orphan_references(
     no row; further columns of either table are ignored, whatever their names.
     """
     spark = children.sparkSession
+    ship(spark)
     refs = children.where(F.col(reference).isNotNull()).select(
         F.col(child_id).cast("long").alias("child_id"),
         F.col(reference).cast("long").alias("key"),

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.runtime import materialize
+from treeloom.runtime import materialize, ship
 
 class _Number(str):
     """A number as it stands in the text."""
@@ -240,6 +240,7 @@ def shred(
     entities = sorted(set(containers.values()))
     schema = "src bigint, digest bigint, node int, parent int, label string, ordinal int, kind string, scalar string, entity string, map_key string"
     schema += "".join(f", in_{e} int" for e in entities)
+    ship(docs.sparkSession)
     rows = docs.where(F.col(body).isNotNull()).select(F.col(doc_id).cast("long").alias("src"), F.xxhash64(F.col(body)).alias("digest"), F.col(body).cast("string").alias("body"))
     return rows.mapInArrow(_shredder(containers, frozenset(scalars) if scalars is not None else None, record_fields.union(containers, scalars or ())), schema)
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 _shipped: set[str] = set()
+_scratch: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,7 +53,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder, which is removed when the driver ends."""
+    ship(spark)
+    folder = f"{shared_dir(spark)}/treeloom-{spark.sparkContext.applicationId}"
+    if folder not in _scratch:
+        _scratch.add(folder)
+        make_folder(spark, folder)
+        system, target = _hadoop(spark, folder)
+        system.deleteOnExit(target)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
@@ -70,30 +79,57 @@ def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path as that knows it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _hadoop(spark, path)
+    system.delete(target, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    system, target = _hadoop(spark, path)
+    return system.exists(target)
 
 
 def make_folder(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+    system, target = _hadoop(spark, path)
+    system.mkdirs(target)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies right below a folder; none if there is no such folder."""
+    system, target = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(target)) if system.exists(target) else []
 
 
 def partitions_of(spark: SparkSession, path: str) -> list[str]:
     """Names of the partition folders right below a table's folder."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in system.listStatus(target) if "=" in s.getPath().getName())
+    return [n for n in list_folder(spark, path) if "=" in n]
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    system, target = _hadoop(spark, path)
+    stream = system.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there as a whole or not at all; it must be new."""
+    system, target = _hadoop(spark, path)
+    _, draft = _hadoop(spark, f"{path[: path.rindex('/')]}/.{uuid.uuid4().hex}")
+    stream = system.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if system.exists(target) or not system.rename(draft, target):
+        system.delete(draft, False)
+        raise RuntimeError(f"{path} was written by someone else")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,13 +11,14 @@ from pyspark.sql import types as T
 
 from treeloom.plans.tables import Root
 from treeloom.plans.values import VARIANT
-from treeloom.runtime import materialize
+from treeloom.runtime import materialize, ship
 
 
 def session() -> SparkSession:
     found = SparkSession.getActiveSession()
     if found is None:
         raise RuntimeError("no active Spark session")
+    ship(found)
     return found
 
 
