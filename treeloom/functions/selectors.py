@@ -25,6 +25,26 @@ class _Probe:
     def __getitem__(self, item: Any) -> Any:
         return self._refuse("index")
 
+    def __bool__(self) -> bool:
+        return self._refuse("test it")
+
+    def __setattr__(self, name: str, value: Any) -> None:
+        self._refuse("set it")
+
+
+def _refusing(what: str) -> Callable[..., Any]:
+    return lambda self, *args: self._refuse(what)
+
+
+for _names, _what in (
+    ("int float complex index round trunc floor ceil bytes str format", "convert it"),
+    ("iter next len contains reversed", "go through it"),
+    ("eq ne lt le gt ge hash", "compare it"),
+    ("add radd sub rsub mul rmul truediv rtruediv floordiv rfloordiv mod rmod pow rpow matmul and rand or ror xor rxor lshift rshift neg pos abs invert", "compute with it"),
+):
+    for _name in _names.split():
+        setattr(_Probe, f"__{_name}__", _refusing(_what))
+
 
 def field_of(model: type, selector: Callable[[Any], Any]) -> str:
     """The name of the one attribute that the selector reads: ``field_of(User, lambda u: u.email)`` is "email"."""

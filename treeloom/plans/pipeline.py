@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any, Literal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,23 @@ class PipelineResult:
             raise ValueError("run(in_order=True) keeps the order of arrival")
         return built.frame.orderBy("__ord").select(*(F.col(f"`{c}`") for c in built.columns))
 
+    def numbered(self, table: str | type, name: str = "row_number") -> DataFrame:
+        """A table with its rows numbered from 0 in the order of arrival, where the run kept it.
+
+        Rows are range-partitioned along the order and numbered within a partition;
+        one count a partition is summed in one place.
+        """
+        built = self._built[table_name(table)]
+        if "__ord" not in built.frame.columns:
+            raise ValueError("run(in_order=True) keeps the order of arrival")
+        ranged = built.frame.repartitionByRange("__ord").sortWithinPartitions("__ord").select(*(F.col(f"`{c}`") for c in built.columns), F.monotonically_increasing_id().alias("__n"))
+        ranged = materialize(ranged, "numbered").withColumn("__part", F.shiftright("__n", 33))
+        sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
+        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+        place = F.col("__start") + F.col("__n").bitwiseAND(F.lit((1 << 33) - 1))
+        return ranged.join(F.broadcast(starts), "__part").select(*(F.col(f"`{c}`") for c in built.columns), place.alias(name))
+
     @property
     def stats(self) -> dict[str, TableStats]:
         if self._stats is None:
@@ -251,7 +268,9 @@ class PipelineBuilder:
     def run(self, on_event: TelemetryCallback | None = None, *, in_order: bool = False, chunks_per_batch: int = 10_000, checkpoint: str | None = None) -> PipelineResult:
         """Build the tables; with a load, write them.
 
-        fail_fast raises on the first bad row before anything is written.
+        fail_fast raises on the first bad row before anything is written. A stream's
+        ``checkpoint`` also names it to sinks that write each of its batches once;
+        chunks that are fed again must then be the same.
         """
         names = list(dict.fromkeys(e.table for e in self._emissions))
         unknown = [t for t in self._eager if t not in names]
@@ -286,12 +305,12 @@ class PipelineBuilder:
             if first:
                 raise RuntimeError("; ".join(first[0]["messages"]))
 
-    def _write(self, tables: dict[str, Table], stats: dict[str, TableStats], on_event: TelemetryCallback | None, batch: int) -> None:
+    def _write(self, tables: dict[str, Table], stats: dict[str, TableStats], on_event: TelemetryCallback | None, batch: int, stream: str | None = None) -> None:
         assert self._load is not None
         order = self._order()
         for group in partition_components(self._dependencies(), list(tables), self._eager) or [set()]:
             wanted = [t for t in order if t in group and t in tables]
-            self._flush.flush(FlushContext(tables, wanted, self._load["sink"], self._load["upsert"], self._load["upsert_on"], stats, on_event, batch, self._links, self._backlinks))
+            self._flush.flush(FlushContext(tables, wanted, self._load["sink"], self._load["upsert"], self._load["upsert_on"], stats, on_event, batch, stream, None if self._stream is not None else 1, self._links, self._backlinks))
 
     # streams --------------------------------------------------------------------------------------------------------
 
@@ -344,7 +363,7 @@ class PipelineBuilder:
             self._raise_errors(errors)
             if sum(s.errors for s in stats.values()):
                 bad.append(materialize(errors.withColumn("key", F.concat(F.array(F.lit(str(number))), "key")), "errors"))
-            self._write(tables, stats, on_event, number)
+            self._write(tables, stats, on_event, number, checkpoint)
             for n, s in stats.items():
                 total[n] = total[n] + s
 

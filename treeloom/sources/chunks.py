@@ -14,8 +14,10 @@ from dataclasses import dataclass
 from typing import Any, Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from treeloom.plans.tables import Root
+from treeloom.runtime import path_exists, scratch_path
 from treeloom.sources.documents import as_root, consecutive_groups, from_json, session
 
 
@@ -80,10 +82,16 @@ class GroupByChunkSource:
 
 @dataclass(frozen=True)
 class ExternalPartitionChunkSource:
-    """One chunk a key, wherever its records stand, keys in order of first appearance; the shuffle spills by itself."""
+    """One chunk a key, wherever its records stand.
+
+    In a run neither records nor keys are held in memory: a frame is told apart by the hash of
+    its key column, and Python records are spilled to shared storage as they come, in
+    slices of ``slice_rows``.
+    """
 
     records: Any
     key: Any
+    slice_rows: int = 100_000
     emits_sequential_only = True
 
     def chunks(self) -> Iterator[Chunk]:
@@ -93,12 +101,17 @@ class ExternalPartitionChunkSource:
             groups.setdefault(of(r), []).append(r)
         return (Chunk(tuple(g)) for g in groups.values())
 
-    def frame(self) -> DataFrame | None:
-        if not isinstance(self.records, DataFrame):
-            return None
-        from pyspark.sql import functions as F
-
-        return self.records.withColumn("__chunk", F.xxhash64(F.col(self.key)))
+    def frame(self) -> DataFrame | Root:
+        if isinstance(self.records, DataFrame):
+            return self.records.withColumn("__chunk", F.xxhash64(F.col(self.key)))
+        of = self.key if callable(self.key) else lambda r: r[self.key]
+        spark = session()
+        folder, schema = scratch_path(spark, "records"), "__at bigint, key string, body string"
+        numbered = enumerate(self.records)
+        while part := [(i, json.dumps(of(r), default=str), json.dumps(r, default=str)) for i, r in itertools.islice(numbered, self.slice_rows)]:
+            spark.createDataFrame(part, schema).write.mode("append").parquet(folder)
+        spilled = spark.read.schema(schema).parquet(folder) if path_exists(spark, folder) else spark.createDataFrame([], schema)
+        return from_json(spilled.withColumn("__chunk", F.xxhash64("key")), "body")
 
 
 def batches(source: Any, chunks_per_batch: int, spark: SparkSession | None = None) -> Iterator[list[Root]]:
@@ -113,7 +126,7 @@ def batches(source: Any, chunks_per_batch: int, spark: SparkSession | None = Non
     if not isinstance(source, ChunkSource):
         source = OneRecordPerChunkSource(source)
     spark = spark or session()
-    numbered = enumerate(source.chunks())
+    numbered, at_next = enumerate(source.chunks()), itertools.count()
     while group := list(itertools.islice(numbered, chunks_per_batch)):
         width = max((len(c.roots) for _, c in group if not c.sequential), default=1)
         rows: list[list[tuple]] = [[] for _ in range(width)]
@@ -124,7 +137,7 @@ def batches(source: Any, chunks_per_batch: int, spark: SparkSession | None = Non
                 if isinstance(doc, DataFrame):
                     frames[at].append(doc)
                 else:
-                    rows[at].append((number, number << 20 | i, json.dumps(doc, default=str)))
+                    rows[at].append((number, next(at_next), json.dumps(doc, default=str)))
         if any(frames):
             for of in zip(*frames) if width > 1 else ([f] for f in frames[0]):
                 yield [as_root(f) for f in of]

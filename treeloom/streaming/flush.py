@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, Protocol, runtime_checkable
@@ -25,6 +26,8 @@ class FlushContext:
     stats: dict[str, Any]
     on_event: TelemetryCallback | None
     batch_id: int = 0
+    stream: str | None = None
+    batch_total: int | None = 1
     links: list[Any] = field(default_factory=list)
     backlinks: list[Any] = field(default_factory=list)
 
@@ -56,13 +59,14 @@ def _write(ctx: FlushContext, name: str, rows: DataFrame, mode: str, keys: list[
     stats = ctx.stats[name]
     emit(ctx.on_event, FlushStarted(name, stats.mapped))
     try:
-        count = ctx.sink.write(name, rows, mode, keys)
+        once = {"batch": (ctx.stream, ctx.batch_id)} if ctx.stream is not None and "batch" in inspect.signature(ctx.sink.write).parameters else {}
+        count = ctx.sink.write(name, rows, mode, keys, **once)
     except Exception as error:
         stats.failed += stats.mapped
         emit(ctx.on_event, FlushFailed(name, str(error)[:500], stats.mapped))
         raise
     stats.inserted += count
-    emit(ctx.on_event, FlushCompleted(name, count, 0, 1, 1, mode != "append"))
+    emit(ctx.on_event, FlushCompleted(name, count, 0, ctx.batch_id + 1, ctx.batch_total, mode != "append"))
 
 
 @dataclass(frozen=True)

@@ -32,8 +32,10 @@ class FlushStarted(TelemetryEvent):
 class FlushCompleted(TelemetryEvent):
     inserted: int
     failed: int
+    #: from 1; 0 are the eager tables of a stream
     batch_num: int
-    batch_total: int
+    #: None in a stream, whose end is not known
+    batch_total: int | None
     upsert: bool
 
 
