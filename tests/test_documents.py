@@ -312,3 +312,120 @@ def test_telemetry_survives_a_failing_callback(spark):
 
     etl({"a": 1}).map_to("t", [Field("a", tl.apply(int, get("a")))]).load(tl.MemorySink()).run(on_event=callback)
     assert seen == ["MapStarted", "MapCompleted", "FlushStarted", "FlushCompleted"]
+
+
+def test_selectors_read_one_attribute_and_do_nothing_else():
+    import math
+
+    assert tl.field_of(object, lambda u: u.email) == "email"
+    refused = [bool, int, float, str, len, iter, list, hash, abs, math.floor, lambda a: not a, lambda a: a and a, lambda a: a == 1, lambda a: a < 1, lambda a: a + 1, lambda a: -a, lambda a: 1 in a, lambda a: a[0], lambda a: a(), lambda a: f"{a}", lambda a: setattr(a, "x", 1), lambda a: a.b]
+    for use in refused:
+        with pytest.raises(ValueError):
+            tl.field_of(object, lambda u: use(u.email))  # noqa: B023
+    with pytest.raises(ValueError):
+        tl.field_of(object, lambda u: u.a and u.b)
+
+
+def model_class():
+    """A class that looks like a model with validators of its own, made here so that it goes to the workers by value."""
+
+    class Info:
+        def __init__(self, needed):
+            self.needed = needed
+
+        def is_required(self):
+            return self.needed
+
+    class Wrong(ValueError):
+        def errors(self):
+            return [{"loc": ("age",), "msg": "must not be negative"}]
+
+    class Model:
+        id: int
+        name: str
+        age: int | None
+        model_fields = {"id": Info(True), "name": Info(True), "age": Info(False)}
+
+        class __pydantic_decorators__:
+            field_validators = {"age": 1}
+
+        def __init__(self, **values):
+            self.__dict__.update(values)
+
+        @classmethod
+        def model_validate(cls, values):
+            if values["age"] is not None and values["age"] < 0:
+                raise Wrong
+            if values["name"] == "boom":
+                raise KeyError("name")
+            return cls(id=values["id"], name=values["name"].strip(), age=values["age"])
+
+    return Model
+
+
+def test_models_build_their_rows(spark):
+    Model = model_class()
+    docs = [{"id": 1, "name": " Ann ", "age": 3}, {"id": 2, "name": "Bob", "age": -1}, {"id": 3, "name": "boom"}, {"id": 4, "name": None, "age": 1}, {"id": "x", "name": "Cy", "age": 2}]
+    result = etl(docs).each().map_to(Model, [Field(c, get(c)) for c in ("id", "name", "age")], join_on=["id"]).run()
+    assert [tuple(r) for r in result.tables[Model].select("id", "name", "age").collect()] == [(1, "Ann", 3)]
+    found = sorted(m for r in result.errors.collect() for m in r.messages)
+    assert sorted(m.split(" ", 2)[2] for m in found) == ["KeyError: 'name'", "age: must not be negative", "id: not a valid bigint", "name: required"]
+
+
+def test_numbered_rows_are_exact(spark):
+    docs = from_rows_of(spark, 1000)
+    got = etl(docs).map_to("t", [Field("n", get("n"))]).run(in_order=True).numbered("t").collect()
+    assert sorted((r.row_number, r.n) for r in got) == [(i, i) for i in range(1000)]
+    with pytest.raises(ValueError):
+        etl(docs).map_to("t", [Field("n", get("n"))]).run().numbered("t")
+
+
+def from_rows_of(spark, n):
+    return tl.from_rows(spark.range(n).selectExpr("id AS n").repartition(7), order_by="n")
+
+
+def test_parquet_sink_versions(spark, tmp_path):
+    sink = tl.ParquetSink(str(tmp_path / "out"), partitions=4)
+    frame = lambda *r: spark.createDataFrame(r, "id int, v string")
+    assert sink.write("t", frame((1, "a"), (2, "b"), (3, "c"), (None, "n")), "update", ["id"]) == 4
+    before = sink.read(spark, "t")
+    assert sink.write("t", frame((2, "B"), (9, "z")), "update", ["id"]) == 2
+    want = [(1, "a"), (2, "B"), (3, "c"), (9, "z"), (None, "n")]
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(map(tuple, sink.read(spark, "t").collect()), key=key) == want
+    assert before.count() == 4  # an old reader still sees what it began with
+    sink.write("t", frame((2, "x"), (10, "new")), "skip", ["id"])
+    sink.write("t", spark.createDataFrame([(1, None, 5)], "id int, v string, w int"), "merge", ["id"])
+    got = {r.id: (r.v, r.w) for r in sink.read(spark, "t").collect()}
+    assert got == {1: ("a", 5), 2: ("B", None), 3: ("c", None), 9: ("z", None), 10: ("new", None), None: ("n", None)}
+    assert sink.write("t", frame((7, "r")), "append", [], batch=("s", 3)) == 1
+    assert sink.write("t", frame((7, "r")), "append", [], batch=("s", 3)) == 0 and sink.write("t", frame((7, "r")), "append", [], batch=("s", 2)) == 0
+    assert sink.read(spark, "t").where("id = 7").count() == 1
+    sink.write("t", frame((7, "once")), "update", ["id"])
+    assert [r.v for r in sink.read(spark, "t").where("id = 7").collect()] == ["once"]
+    count = sink.read(spark, "t").count()
+    sink.vacuum(spark, "t")
+    assert sink.read(spark, "t").count() == count and len(list((tmp_path / "out" / "t" / "versions").glob("[0-9]*"))) == 1
+    sink.write("t", frame((1, "by v")), "update", ["v"])
+    assert sink.read(spark, "t").count() == count + 1
+    with pytest.raises(ValueError):
+        sink.read(spark, "none")
+
+
+def test_records_are_spilled_by_key(spark):
+    sink = tl.MemorySink()
+    records = ({"k": i % 5, "n": i} for i in range(1000))
+    source = tl.ExternalPartitionChunkSource(records, "k", slice_rows=64)
+    tl.stream(source).map_to("t", [Field("k", tl.apply(int, get("k"))), Field("n", tl.apply(int, get("n")), tl.AddPolicy())], join_on=["k"]).load(sink).run()
+    assert sorted((r.k, r.n) for r in sink.tables["t"].collect()) == [(k, sum(range(k, 1000, 5))) for k in range(5)]
+    empty = tl.MemorySink()
+    tl.stream(tl.ExternalPartitionChunkSource(iter(()), "k")).map_to("t", [Field("k", tl.apply(int, get("k")))]).load(empty).run()
+    assert empty.tables["t"].count() == 0
+
+
+def test_documents_of_large_chunks_keep_their_order(spark):
+    from treeloom.sources.chunks import batches
+
+    roots = [r for group in batches(tl.PreSegmentedChunkSource([[{"a": i} for i in range(50)], [{"a": 50}]]), 10) for r in group]
+    ats = [r["__at"] for root in roots for r in root.docs.collect()]
+    assert sorted(ats) == list(range(51))

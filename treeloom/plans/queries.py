@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeloom.functions.policies import AddPolicy, AppendPolicy, ExtendPolicy, FirstNonNullPolicy, MaxPolicy, MergePolicy, MinPolicy
+from treeloom.functions.selectors import field_of
 from treeloom.functions.transforms import apply, coalesce, concat, format_id, get, get_from_parent, get_from_root, index, key, len_of, literal, lookup, node, parent_index, parent_key, transform
 from treeloom.plans.lowlevel import InstanceEmit, IterationLevel, ManyToOneSpec, MappingSpec, TableEmit, TraversalSpec, bind_many_to_one, run_mapping
 from treeloom.plans.pipeline import etl, stream
 from treeloom.plans.schema import Target
 from treeloom.plans.tables import Field, TempField
 from treeloom.runtime import scratch_path, table
-from treeloom.sources.chunks import GroupByChunkSource
+from treeloom.sources.chunks import CallableChunkSource, Chunk, ExternalPartitionChunkSource, GroupByChunkSource, OneRecordPerChunkSource, PreSegmentedChunkSource
 from treeloom.sources.documents import from_json, from_rows
 from treeloom.sources.sinks import MemorySink, ParquetSink
 from treeloom.streaming.flush import BufferedKeyFlushStrategy, UpsertFlushStrategy
@@ -394,9 +396,40 @@ def upsert_skip(spark: SparkSession, d: str) -> DataFrame:
     return _upsert(spark, d, UpsertFlushStrategy("skip"))
 
 
-@query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+@query("SELECT user_id, arg_max(event_type, event_id) FILTER (WHERE event_id % 3 <> 0) AS event_type, arg_max(value, event_id) FILTER (WHERE event_id % 3 <> 1) AS value FROM events GROUP BY user_id")
 def upsert_buffered(spark: SparkSession, d: str) -> DataFrame:
-    return _upsert(spark, d, BufferedKeyFlushStrategy())
+    """Rows with gaps, in three batches: later ones fill in and replace, nulls replace nothing."""
+    gaps = table(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("event_type"), F.when(F.col("event_id") % 3 != 1, F.col("value")).alias("value"))
+    low, high = gaps.agg(F.min("event_id"), F.max("event_id")).first()
+    third = (high - low) // 3 + 1
+    sink = ParquetSink(scratch_path(spark, "buffered"))
+    for i in range(3):
+        part = gaps.where(F.col("event_id").between(low + i * third, low + (i + 1) * third - 1)).withColumn("__chunk", F.col("event_id"))
+        p = stream(part, flush_strategy=BufferedKeyFlushStrategy())
+        p.map_to("users", [Field(c, get(c)) for c in ("user_id", "event_type", "value")], join_on=["user_id"]).load(sink).run()
+    return sink.read(spark, "users").select("user_id", "event_type", "value")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def upsert_parquet(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches into folders of which each write renews only the hash partitions it touches; the second comes twice."""
+    events = table(spark, d, "events")
+    middle = events.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY event_id)")).first()[0]
+    sink = ParquetSink(scratch_path(spark, "upserted"))
+    parts = [events.where(F.col("event_id") <= middle), events.where(F.col("event_id") > middle)]
+    for part in (*parts, parts[1]):
+        p = stream(from_rows(part, order_by="event_id").docs.select("__doc.*", "__at"), flush_strategy=UpsertFlushStrategy("update"))
+        p.map_to("users", [Field("user_id", get("user_id")), Field("event_type", get("event_type"))], join_on=["user_id"]).load(sink).run()
+    return sink.read(spark, "users").select("user_id", "event_type")
+
+
+@query("SELECT event_id, event_type FROM events")
+def replayed_batch(spark: SparkSession, d: str) -> DataFrame:
+    """A stream that is run again from its beginning: what has been written is not appended once more."""
+    sink, name = ParquetSink(scratch_path(spark, "replayed")), scratch_path(spark, "feed")
+    for _ in range(2):
+        stream(table(spark, d, "events")).map_to("events", [Field("event_id", get("event_id")), Field("event_type", get("event_type"))]).load(sink).run(checkpoint=name)
+    return sink.read(spark, "events")
 
 
 @query(
@@ -431,3 +464,119 @@ def json_documents(spark: SparkSession, d: str) -> DataFrame:
     text = table(spark, d, "documents").select(F.to_json(F.struct("doc_id", "source")).alias("body"))
     root = from_json(text, "body", schema="doc_id bigint, source string")
     return etl(root).map_to("docs", [Field("doc_id", get("doc_id")), Field("source", get("source"))]).run().tables["docs"]
+
+
+# chunk sources, order, targets -----------------------------------------------------------------------------------------
+
+
+def _nations(spark: SparkSession, d: str) -> list[dict]:
+    """The nations, 25 at any scale, as Python records."""
+    return [r.asDict() for r in table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()]
+
+
+def _nation_rows(source) -> DataFrame:
+    sink = MemorySink()
+    stream(source).map_to("nations", [Field("n_nationkey", apply(int, get("n_nationkey"))), Field("n_name", apply(str, get("n_name")))]).load(sink).run(chunks_per_batch=7)
+    return sink.tables["nations"]
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def one_record_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _nation_rows(OneRecordPerChunkSource(_nations(spark, d)))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def callable_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = _nations(spark, d)
+    return _nation_rows(CallableChunkSource(lambda: (Chunk((r,)) for r in rows)))
+
+
+@query("SELECT n_regionkey AS region, count(*) AS n FROM nation GROUP BY 1")
+def segmented_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Records cut into segments by the caller: each holds all rows of its keys."""
+    rows, sink = _nations(spark, d), MemorySink()
+    segments = [[r for r in rows if r["n_regionkey"] == k] for k in sorted({r["n_regionkey"] for r in rows})]
+    p = stream(PreSegmentedChunkSource(segments)).map_to("regions", [Field("region", apply(int, get("n_regionkey"))), Field("n", literal(1), AddPolicy())], join_on=["region"])
+    p.load(sink).run()
+    return sink.tables["regions"].select("region", "n")
+
+
+@query("SELECT n_regionkey AS region, count(*) AS n FROM nation GROUP BY 1")
+def external_records(spark: SparkSession, d: str) -> DataFrame:
+    """Python records brought together by key, wherever they stand, through shared storage."""
+    sink = MemorySink()
+    source = ExternalPartitionChunkSource(iter(_nations(spark, d)), "n_regionkey", slice_rows=10)
+    stream(source).map_to("regions", [Field("region", apply(int, get("n_regionkey"))), Field("n", literal(1), AddPolicy())], join_on=["region"]).load(sink).run()
+    return sink.tables["regions"].select("region", "n")
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def external_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """One chunk a key, wherever its records stand in a frame."""
+    sink = MemorySink()
+    source = ExternalPartitionChunkSource(table(spark, d, "events").select("event_id", "user_id"), "user_id")
+    stream(source).map_to("users", [Field("user_id", get("user_id")), Field("n", literal(1), AddPolicy())], join_on=["user_id"]).load(sink).run()
+    return sink.tables["users"].select("user_id", "n")
+
+
+@query("SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS row_number FROM events")
+def numbered_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a table without keys, numbered in the order of arrival."""
+    return _events(spark, d).map_to("events", [Field("event_id", get("event_id")), Field("event_type", get("event_type"))]).run(in_order=True).numbered("events")
+
+
+@query("SELECT s_name AS name, s_nationkey AS nation FROM supplier UNION ALL SELECT c_name, c_nationkey FROM customer")
+def union_of_emissions(spark: SparkSession, d: str) -> DataFrame:
+    """Two emissions without keys into one table, from roots of different shape."""
+    p = etl(table(spark, d, "supplier"), table(spark, d, "customer"))
+    p = p.map_to("parties", [Field("name", get("s_name")), Field("nation", get("s_nationkey"))])
+    return p.goto_root(1).map_to("parties", [Field("name", get("c_name")), Field("nation", get("c_nationkey"))]).run().tables["parties"]
+
+
+@dataclass
+class Nation:
+    n_nationkey: int
+    n_name: str
+    region: int | None = None
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey AS region FROM nation")
+def class_routing(spark: SparkSession, d: str) -> DataFrame:
+    """A table named and typed by a class."""
+    fields = [Field("n_nationkey", get("n_nationkey")), Field(field_of(Nation, lambda n: n.n_name), get("n_name")), Field("region", get("n_regionkey"))]
+    return etl(table(spark, d, "nation")).map_to(Nation, fields, join_on=["n_nationkey"]).run().tables[Nation]
+
+
+class Answer:
+    """Targets with conditions: as columns, and in Python."""
+
+    __checks__ = {"votes": lambda c: c >= 0}
+    __validators__ = {"kind": lambda v: v == "answer"}
+
+    def __init__(self, doc_id: int, votes: int, kind: str):
+        self.doc_id, self.votes, self.kind = doc_id, votes, kind
+
+
+@query(
+    """SELECT doc_id::VARCHAR AS doc, 'table=answer key=' || doc_id || ' ' || CASE WHEN votes IS NULL THEN 'votes: required' WHEN votes < 0 THEN 'votes: check failed' ELSE 'kind: check failed' END AS message
+    FROM documents WHERE votes IS NULL OR votes < 0 OR doc_kind <> 'answer'"""
+)
+def target_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that do not fit a class, each with what is wrong with it."""
+    fields = [Field("doc_id", get("doc_id")), Field("votes", get("votes")), Field("kind", get("doc_kind"))]
+    errors = etl(table(spark, d, "documents")).map_to(Answer, fields, join_on=["doc_id"]).run().errors
+    return errors.select(F.col("key")[0].alias("doc"), F.explode("messages").alias("message"))
+
+
+@query("SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'zero' WHEN 1 THEN 'one' END AS code FROM nation")
+def index_of_dict(spark: SparkSession, d: str) -> DataFrame:
+    p = etl(table(spark, d, "nation")).build_index("codes", from_dict={0: "zero", 1: "one"})
+    return p.map_to("nations", [Field("n_nationkey", get("n_nationkey")), Field("code", lookup("codes", get("n_regionkey")))]).run().tables["nations"]
+
+
+@query("SELECT n_nationkey, field, value FROM (SELECT n_nationkey, 'name' AS field, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'region', n_regionkey::VARCHAR FROM nation)")
+def level_of_items(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of an object, by a low-level specification."""
+    docs = table(spark, d, "nation").select("n_nationkey", F.create_map(F.lit("name"), F.col("n_name"), F.lit("region"), F.col("n_regionkey").cast("string")).alias("fields"))
+    emit = TableEmit("cells", [Field("n_nationkey", get_from_root("n_nationkey")), Field("field", key()), Field("value", node())])
+    return run_mapping(docs, MappingSpec([TraversalSpec(["fields"], [emit], mode="items")]))["cells"].rows.select("n_nationkey", "field", "value")

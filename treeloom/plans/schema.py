@@ -9,9 +9,11 @@ import difflib
 import inspect
 import types
 import typing
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,13 +25,19 @@ _SIMPLE = {str: T.StringType(), int: T.LongType(), float: T.DoubleType(), bool:
 
 @dataclass(frozen=True)
 class Target:
-    """What a table's rows must look like; None as type takes any value."""
+    """What a table's rows must look like; None as type takes any value.
+
+    checks are conditions as columns. build, if there is one, sees each row that has
+    passed so far as a dict, in Python: what it returns, an object or a mapping, gives
+    the row's values, and what it raises is the row's error.
+    """
 
     name: str
     fields: dict[str, T.DataType | None]
     required: frozenset[str] = frozenset()
     checks: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
     partial: bool = False
+    build: Callable[[dict], Any] | None = None
 
     def suggest(self, unknown: str) -> str:
         near = difflib.get_close_matches(unknown, self.fields, n=3, cutoff=0.6)
@@ -67,7 +75,9 @@ def target_of(table: str | type | T.StructType, *, name: str | None = None, part
 
     A mapped class (with __table__ or __tablename__) gives columns without
     requirements, a model class its fields and which have no default, a TypedDict
-    its keys, any other class its constructor's parameters.
+    its keys, any other class its constructor's parameters. A model class with
+    validators of its own also builds each row; so does a class whose
+    ``__validators__`` holds conditions in Python by field.
     """
     if isinstance(table, str):
         return None
@@ -75,6 +85,7 @@ def target_of(table: str | type | T.StructType, *, name: str | None = None, part
         return Target(name or "table", {f.name: f.dataType for f in table.fields}, frozenset(f.name for f in table.fields if not f.nullable), partial=partial)
     label = table_name(table)
     checks = dict(getattr(table, "__checks__", {}))
+    build = _build_of(table, partial)
     hints: dict[str, object] = {}
     try:
         hints = typing.get_type_hints(table, include_extras=True)
@@ -83,7 +94,7 @@ def target_of(table: str | type | T.StructType, *, name: str | None = None, part
     hints = {k: v for k, v in hints.items() if not k.startswith("_")}
     if hasattr(table, "__table__") or hasattr(table, "__mapper__"):
         columns = [c.name for c in getattr(getattr(table, "__table__", None), "columns", [])] or list(hints)
-        return Target(label, {c: _type(hints.get(c))[0] for c in columns}, frozenset(), checks, partial)
+        return Target(label, {c: _type(hints.get(c))[0] for c in columns}, frozenset(), checks, partial, build)
     if hasattr(table, "model_fields"):
         needed = frozenset(k for k, f in table.model_fields.items() if f.is_required())
     elif typing.is_typeddict(table):
@@ -96,7 +107,69 @@ def target_of(table: str | type | T.StructType, *, name: str | None = None, part
         needed = frozenset(p.name for p in parameters if p.default is p.empty)
     typed = {k: _type(h) for k, h in hints.items()}
     required = frozenset(k for k in needed if k in typed and not typed[k][1])
-    return Target(label, {k: t for k, (t, _) in typed.items()}, frozenset() if partial else required, checks, partial)
+    return Target(label, {k: t for k, (t, _) in typed.items()}, frozenset() if partial else required, checks, partial, build)
+
+
+def _build_of(table: type, partial: bool) -> Callable[[dict], Any] | None:
+    conditions = dict(getattr(table, "__validators__", {}))
+    if conditions:
+
+        def check(values: dict) -> dict:
+            failed = [f"{n}: check failed" for n, holds in conditions.items() if values.get(n) is not None and not holds(values[n])]
+            if failed:
+                raise RowError(failed)
+            return values
+
+        return check
+    decorators = getattr(table, "__pydantic_decorators__", None)
+    own = any(getattr(decorators, kind, None) for kind in ("validators", "field_validators", "root_validators", "model_validators"))
+    return table.model_validate if own and not partial and hasattr(table, "model_validate") else None
+
+
+class RowError(ValueError):
+    """Several messages about one row."""
+
+    def __init__(self, messages: list[str]):
+        super().__init__("; ".join(messages))
+        self.messages = messages
+
+
+def _messages(error: Exception) -> list[str]:
+    if isinstance(error, RowError):
+        return error.messages
+    listed = getattr(error, "errors", None)
+    if callable(listed):
+        try:
+            return [f"{'.'.join(map(str, e['loc'])) or 'row'}: {e['msg']}" for e in listed()]
+        except (KeyError, TypeError):
+            pass
+    return [f"{type(error).__name__}: {error}"]
+
+
+def builder(build: Callable[[dict], Any], columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs ``build`` over the rows of Arrow batches; a batch's last column takes the messages."""
+
+    def values_of(built: Any) -> dict:
+        if isinstance(built, Mapping):
+            return dict(built)
+        return built.model_dump() if hasattr(built, "model_dump") else vars(built)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema, rows, messages = batch.schema, batch.select(columns).to_pylist(), []
+            for row in rows:
+                try:
+                    built = values_of(build(dict(row)))
+                    for c in columns:
+                        if c in built:
+                            row[c] = pa.scalar(built[c], schema.field(c).type).as_py()
+                    messages.append([])
+                except Exception as error:  # whatever a user's code raises belongs to the row
+                    messages.append(_messages(error))
+            arrays = [pa.array([r[n] for r in rows], schema.field(n).type) if n in columns else batch.column(n) for n in schema.names[:-1]]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(messages, schema.types[-1])], schema=schema)
+
+    return run
 
 
 def validated(value: Value, name: str, target: Target) -> tuple[Column, Column]:

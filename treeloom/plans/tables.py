@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 from treeloom.functions.policies import LastWritePolicy, MergePolicy
 from treeloom.functions.transforms import evaluate
 from treeloom.plans.navigate import Step, navigate, plan_levels
-from treeloom.plans.schema import Target, validated
+from treeloom.plans.schema import Target, builder, validated
 from treeloom.plans.scope import Scope, Usage
 from treeloom.plans.values import Value, common_type, comparable, convert
+from treeloom.runtime import materialize, ship
 
 
 @dataclass(frozen=True)
@@ -271,6 +272,16 @@ class TableBuilder:
         hidden = [c for c in table.frame.columns if c.startswith("__") and c not in table.columns]
         keys = [table.value(k).col.cast("string") for k in table.keys] or [F.lit(None).cast("string")]
         checked = table.frame.select(*columns, *hidden, F.array_compact(F.array(*errors)).alias("__errors"), F.array(*keys).alias("__error_key"))
+        if target.build is not None:
+            untyped = [c for c in table.columns if isinstance(checked.schema[c].dataType, T.VariantType)]
+            if untyped:
+                raise ValueError(f"table {table.name}: a target that builds rows needs types for {', '.join(untyped)}")
+            ship(checked.sparkSession)
+            passed = checked.where(F.size("__errors") == 0).withColumn("__errors", F.array().cast("array<string>"))
+            last = [c for c in passed.columns if c != "__errors"] + ["__errors"]
+            built = passed.select(*(F.col(f"`{c}`") for c in last)).mapInArrow(builder(target.build, table.columns), checked.select(*(F.col(f"`{c}`") for c in last)).schema)
+            # kept as a table, so that a user's code sees each row once
+            checked = materialize(checked.where(F.size("__errors") > 0).unionByName(built), table.name)
         good = checked.where(F.size("__errors") == 0).drop("__errors", "__error_key")
         bad = checked.where(F.size("__errors") > 0).select(F.lit(table.name).alias("table"), F.col("__error_key").alias("key"), F.transform("__errors", lambda m: F.concat(F.lit(f"table={table.name} key="), F.concat_ws(",", "__error_key"), F.lit(" "), m)).alias("messages"))
         table.frame, table.errors = good, bad
