@@ -90,6 +90,16 @@ def test_raking_meets_sources_and_caps():
     assert exact_budget({}, share, cap) == 0
 
 
+def test_no_document_is_repeated_beyond_its_cap(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, f"s{i % 3}", "en", int(rng.integers(0, 16)), int(rng.integers(1, 3000))) for i in range(90)]
+    features = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, topic int, tokens bigint")
+    targets = spark.createDataFrame([("s0", 0.7, 2), ("s1", 0.2, 1), ("s2", 0.1, 3)], "source string, target_share double, repeat_cap int")
+    for budget in ("exact", None, 10_000_000):
+        chosen, _ = mix(features, targets, budget=budget)
+        assert all(r.copies <= {"s0": 2, "s1": 1, "s2": 3}[r.source] for r in chosen.collect())
+
+
 def test_mix_reaches_shares(spark):
     rng = np.random.default_rng(4)
     rows = [(i, ("Big ", "mid", "tiny")[int(rng.choice(3, p=[0.7, 0.27, 0.03]))], ("en", "de", None, "xx")[i % 4], i % 5, int(rng.integers(1, 300))) for i in range(6000)]

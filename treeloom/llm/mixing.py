@@ -83,8 +83,8 @@ def rake(cells: list[Cell], sources: dict[str, float], cap: dict[str, float], ro
 def thresholds(histogram: pd.DataFrame) -> pd.DataFrame:
     """(source, lang, topic, whole, limit_bucket): repeats of all documents of a cell, and the hash bucket below which one more is taken.
 
-    histogram(source, lang, topic, bucket, tokens, weight) of one source. What a
-    cell's limit misses is carried to the next cell.
+    histogram(source, lang, topic, bucket, tokens, weight, cap) of one source. What
+    a cell's limit misses is carried to the next cell that is not at its cap.
     """
     out, carry = [], 0.0
     for (source, lang, topic), cell in histogram.groupby(["source", "lang", "topic"], sort=True):
@@ -94,8 +94,7 @@ def thresholds(histogram: pd.DataFrame) -> pd.DataFrame:
         have, weight = sums[-1], float(cell["weight"].iloc[0])
         whole = int(np.floor(weight / have + 1e-12))
         want = weight - whole * have + carry
-        # at the cap nothing more may be taken, which the weight then asks for by no more than the carry
-        limit = int(np.abs(sums - want).argmin()) if weight < have * (whole + 1) and want > 0 else 0
+        limit = int(np.abs(sums - want).argmin()) if whole < cell["cap"].iloc[0] and want > 0 else 0
         carry = want - sums[limit]
         out.append((source, lang, topic, whole, limit))
     return pd.DataFrame(out, columns=["source", "lang", "topic", "whole", "limit_bucket"])
@@ -138,7 +137,7 @@ def mix(features: DataFrame, targets: DataFrame, *, budget: float | str | None =
         available[c.source] = available.get(c.source, 0.0) + c.tokens
     size = exact_budget(available, share, cap) if budget == "exact" else float(budget) if budget is not None else sum(available.values())
     weights = rake(cells, source_totals(available, share, cap, size), cap) if cells else []
-    plan = spark.createDataFrame([(c.source, c.lang, c.topic, float(w)) for c, w in zip(cells, weights)], "source string, lang string, topic int, weight double")
+    plan = spark.createDataFrame([(c.source, c.lang, c.topic, float(w), cap[c.source]) for c, w in zip(cells, weights)], "source string, lang string, topic int, weight double, cap double")
     # plan and limits have one row a cell; a source's group has at most one row a cell and bucket
     limits = histogram.join(F.broadcast(plan), by).groupBy("source").applyInPandas(thresholds, "source string, lang string, topic int, whole int, limit_bucket int")
     limits = materialize(limits, "limits")
