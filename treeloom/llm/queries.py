@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from treeloom.llm.packing import fill, pack
 from treeloom.llm.sql import SQL
 from treeloom.llm.survivors import survivors
 from treeloom.llm.truncation import rates, truncated
-from treeloom.runtime import table
+from treeloom.runtime import materialize, table
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -75,6 +76,21 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill(p6_packed(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
 
 
+def p6_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each spec: the documents packed; those not packed as a whole, once; containers too full; documents split without need; and whether 98 % of the space is used, or all but one container."""
+    features = materialize(document_features(table(spark, sf_dir, "documents")).where("tokens > 0").select("doc_id", "tokens", "curve"), "features")
+    specs = table(spark, sf_dir, "pack_specs")
+    packed = materialize(pack(features, specs), "packed")
+    whole = packed.groupBy("spec_name", "doc_id").agg(F.sum("tokens").alias("packed"), F.max("piece_no").alias("last"), F.count(F.lit(1)).alias("pieces"))
+    whole = features.select("doc_id", F.col("tokens").alias("size")).crossJoin(F.broadcast(specs)).join(whole, ["spec_name", "doc_id"], "left")
+    lost = (F.coalesce("packed", F.lit(0)) != F.col("size")) | (F.col("pieces") != F.col("last") + 1)
+    split = (F.col("pieces") > 1) & (F.col("size") <= F.col("capacity_tokens"))
+    docs = whole.groupBy("spec_name").agg(F.count(F.lit(1)).alias("documents"), F.count_if(lost).alias("lost"), F.count_if(split).alias("split"))
+    loads = packed.groupBy("spec_name", "container_id").agg(F.sum("tokens").alias("load")).join(F.broadcast(specs), "spec_name")
+    loads = loads.groupBy("spec_name").agg(F.count_if(F.col("load") > F.col("capacity_tokens")).alias("overfull"), (F.sum("load") >= F.least(0.98 * F.sum("capacity_tokens"), F.sum("capacity_tokens") - F.max("capacity_tokens"))).alias("well_filled"))
+    return docs.join(loads, "spec_name").select("spec_name", "documents", "lost", "overfull", "split", "well_filled")
+
+
 def _mixed(spark: SparkSession, sf_dir: str, budget: float | str | None = "exact") -> tuple[DataFrame, DataFrame]:
     features = document_features(table(spark, sf_dir, "documents"), source="source", lang="lang")
     return mix(features, table(spark, sf_dir, "mix_targets"), budget=budget)
@@ -94,6 +110,18 @@ def p7_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir, None)[1]
 
 
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source that has documents: whether its share is within 0.005 or the largest document taken from it of its target, and no document repeated more often than allowed."""
+    chosen, shares = _mixed(spark, sf_dir)
+    most = chosen.groupBy("source").agg(F.max("copies").alias("copies"), F.max("tokens").alias("largest"))
+    whole = chosen.agg(F.sum(F.col("tokens") * F.col("copies")).alias("whole"))
+    reachable = shares.where("available_tokens > 0").agg(F.sum("target_share").alias("reachable"))
+    off = F.abs(F.col("tokens") - F.col("target_share") / F.col("reachable") * F.col("whole"))
+    near = (F.col("available_tokens") == 0) | (off <= F.greatest(0.005 * F.col("whole"), "largest"))
+    ones = [F.broadcast(d) for d in (whole, reachable)]
+    return reduce(DataFrame.crossJoin, ones, shares.join(most, "source", "left")).select("source", near.alias("near_target"), (F.coalesce("copies", F.lit(0)) <= F.col("repeat_cap")).alias("within_cap"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncated(table(spark, sf_dir, "documents")).where("is_cut").select("doc_id")
 
@@ -109,8 +137,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
+    "p6_checked": p6_checked,
     "p7_mixed": p7_mixed,
     "p7_shares": p7_shares,
+    "p7_checked": p7_checked,
     "p7_shares_full": p7_shares_full,
     "p8_found": p8_found,
     "p8_rates": p8_rates,

