@@ -303,6 +303,43 @@ def test_database_sink(spark, tmp_path):
         assert db.execute("SELECT * FROM u").fetchall() == [(1, "B")]
 
 
+def test_client_sink(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def connect():
+        import json
+        import types
+        import uuid
+
+        class Call:
+            def __init__(self, name):
+                self.name, self.call = name, None
+
+            def insert(self, rows):
+                self.call = ["insert", rows, None]
+                return self
+
+            def upsert(self, rows, on_conflict=None):
+                self.call = ["upsert", rows, on_conflict]
+                return self
+
+            def execute(self):
+                with open(f"{folder}/{self.name}-{uuid.uuid4().hex}", "w") as f:
+                    json.dump(self.call, f)
+                return types.SimpleNamespace(data=self.call[1])
+
+        return types.SimpleNamespace(table=Call)
+
+    docs = from_objects([{"id": i, "name": str(i)} for i in range(10)], schema="struct<id:int,name:string>")
+    for name, upsert in (("a", False), ("b", True)):
+        sink = tl.ClientSink(connect, batch_size=3, partitions=1)
+        p = etl(docs).map_to(name, [Field("id", get("id")), Field("name", get("name"))], join_on=["id"]).load(sink, upsert=upsert)
+        assert p.run().stats[name].inserted == 10
+        sent = [json.loads(f.read_text()) for f in tmp_path.glob(f"{name}-*")]
+        assert {(s[0], s[2]) for s in sent} == {("upsert", "id") if upsert else ("insert", None)} and max(len(s[1]) for s in sent) == 3
+        assert sorted(r["id"] for s in sent for r in s[1]) == list(range(10))
+
+
 def test_telemetry_survives_a_failing_callback(spark):
     seen = []
 

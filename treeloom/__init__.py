@@ -12,7 +12,7 @@ from treeloom.plans.scope import Scope
 from treeloom.plans.tables import Field, Root, TempField
 from treeloom.sources.chunks import CallableChunkSource, Chunk, ChunkSource, ExternalPartitionChunkSource, GroupByChunkSource, OneRecordPerChunkSource, PreSegmentedChunkSource
 from treeloom.sources.documents import consecutive_groups, from_json, from_objects, from_rows
-from treeloom.sources.sinks import DbApiSink, JdbcSink, MemorySink, ParquetSink, Sink, TableSink
+from treeloom.sources.sinks import ClientSink, DbApiSink, JdbcSink, MemorySink, ParquetSink, Sink, TableSink
 from treeloom.streaming.flush import BufferedKeyFlushStrategy, FlushContext, FlushStrategy, KeyCompleteFlushStrategy, UpsertFlushStrategy
 from treeloom.telemetry import FlushCompleted, FlushFailed, FlushStarted, MapCompleted, MapStarted, TelemetryEvent
 

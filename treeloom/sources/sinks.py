@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 from collections.abc import Callable, Iterator
@@ -218,3 +219,33 @@ class DbApiSink:
 
         rows = rows.coalesce(self.partitions) if self.partitions else rows
         return sum(rows.rdd.mapPartitions(send).collect())
+
+
+@dataclass
+class ClientSink:
+    """A service whose client has ``table(name).insert(rows)`` and ``.upsert(rows, on_conflict=..)``, each run by ``.execute()``.
+
+    ``connect`` makes a client on the executors; each partition sends its rows as
+    dicts in batches. Such services have no transactions over batches, so a task
+    that is retried sends its rows again: upsert where that matters.
+    """
+
+    connect: Callable[[], Any]
+    batch_size: int = 1000
+    partitions: int | None = 8
+
+    def write(self, table: str, rows: DataFrame, mode: str, keys: list[str]) -> int:
+        if mode not in ("append", "update"):
+            raise ValueError("a client appends or updates")
+        connect, size, upsert, conflict = self.connect, self.batch_size, mode == "update" and bool(keys), ",".join(keys) or None
+
+        def send(part: Iterator[Any]) -> Iterator[int]:
+            client, count = connect(), 0
+            while batch := [r.asDict(recursive=True) for r in itertools.islice(part, size)]:
+                target = client.table(table)
+                answer = (target.upsert(batch, on_conflict=conflict) if upsert else target.insert(batch)).execute()
+                count += len(answer.data or [])
+            yield count
+
+        rows = rows.coalesce(self.partitions) if self.partitions else rows
+        return sum(rows.rdd.mapPartitions(send).collect())
