@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.runtime import materialize
+from treeloom.runtime import drop_path, scratch_path
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,8 +17,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     a node to itself and repeated links are harmless; no links give no rows.
     """
     both = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    edges = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    spark = links.sparkSession
+
+    def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    edges, at_edges = kept(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels, at = kept(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
     while True:
         # the smallest label among the neighbours, offered to the node and to the root it has now
         near = edges.join(labels.select(F.col("node").alias("b"), F.col("root").alias("of_b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("of_b").alias("offer"))
@@ -27,7 +34,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         hooked = seen.join(hooks, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "offer", F.coalesce("hook", "root")).alias("root"))
         up = hooked.select(F.col("node").alias("root"), F.col("root").alias("above"))
         jumped = hooked.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root"))
-        after = materialize(jumped, "labels")
-        labels = after.select("node", "root")
+        after, below = kept(jumped, "labels")
+        drop_path(spark, at)
+        labels, at = after.select("node", "root"), below
         if after.where("old <> root").isEmpty():
+            drop_path(spark, at_edges)
             return labels

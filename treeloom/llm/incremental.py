@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from treeloom.llm.components import connected_components
 from treeloom.llm.slips import alike, band_keys, deletions, minwise, one_slip
-from treeloom.runtime import drop_path, make_folder, materialize, partitions_of, path_exists, scratch_path
+from treeloom.runtime import drop_path, make_folder, partitions_of, path_exists, scratch_path
 
 #: A persisted row's share of memory in a hash table, in bytes.
 ROW_BYTES = 200
@@ -113,13 +113,19 @@ class History:
                 kept = self._table("entries", *earlier).select("id", "check", F.lit(True).alias("kept"))
                 # an outer join, since of an anti join only the history could be held in memory
                 entries = self._small(entries, 2 * rows).join(kept, ["id", "check"], "left").where("kept IS NULL").drop("kept")
-            entries = materialize(entries, "entries")
+            path = scratch_path(self.spark, "entries")
+            entries.write.option("compression", "zstd").parquet(path)
+            entries = self.spark.read.schema(entries.schema).parquet(path)
             entries.select("id", "check", "text", "node", F.lit(number).alias("batch")).write.insertInto(self._tables["entries"])
             banded = entries.select("id", "agree", "text").mapInArrow(_bander(self.bands), "id bigint, signature bigint, bands array<bigint>")
             keys = banded.select(F.explode("bands").alias("band"), "id", "signature", F.lit(number).alias("batch")).repartition(self.buckets, "band")
             keys.write.insertInto(self._tables["keys"])
+            drop_path(self.spark, path)
             if path_exists(self.spark, f"{self.path}/keys/batch={number}"):
-                self._link(number, earlier).write.mode("overwrite").parquet(f"{self.path}/links/batch={number}")
+                links, scratch = self._link(number, earlier)
+                links.write.mode("overwrite").parquet(f"{self.path}/links/batch={number}")
+                for used in scratch:
+                    drop_path(self.spark, used)
         make_folder(self.spark, f"{self.path}/links/batch={number}")
         make_folder(self.spark, f"{self.path}/accepted/batch={number}")
 
@@ -133,13 +139,15 @@ class History:
         """The frame as the side of a hash join that is held in memory, if its share of a partition is small."""
         return df.hint("shuffle_hash") if rows * ROW_BYTES <= self.hash_bytes * self.buckets else df
 
-    def _link(self, number: int, earlier: list[int]) -> DataFrame:
-        """(a, b) of the nodes of new entries and of those that are one slip apart."""
+    def _link(self, number: int, earlier: list[int]) -> tuple[DataFrame, list[str]]:
+        """(a, b) of the nodes of new entries and of those that are one slip apart; and what can be dropped once they are written."""
+        scratch = [scratch_path(self.spark, name) for name in ("hot", "alike")]
         new = self._table("keys", number).select("band", "id", "signature")
         old = self._table("keys", *earlier).select("band", "id", "signature") if earlier else None
         rows = new.count()
         hot = new.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > self.hot).select("band")
-        hot = materialize(hot, "hot")
+        hot.write.parquet(scratch[0])
+        hot = self.spark.read.schema(hot.schema).parquet(scratch[0])
         n_hot = hot.count()
         sides = [new] if old is None else [new, old]
         pairs = []
@@ -151,14 +159,15 @@ class History:
             new = new.join(listed, "band", "left_anti")
         left = self._small(new, rows)
         pairs += [_meeting(left, new if s is sides[0] else s, ["band"], s is sides[0]) for s in sides]
-        alike = materialize(reduce(DataFrame.unionByName, pairs).distinct(), "alike")
-        return self._verified(alike, number, earlier)
+        met = reduce(DataFrame.unionByName, pairs).distinct()
+        met.write.parquet(scratch[1])
+        return self._verified(self.spark.read.schema(met.schema).parquet(scratch[1]), number, earlier), scratch
 
-    def _verified(self, alike: DataFrame, number: int, earlier: list[int]) -> DataFrame:
+    def _verified(self, met: DataFrame, number: int, earlier: list[int]) -> DataFrame:
         """Links of the pairs(x, y) of entries, x of the new batch, whose texts are one slip apart."""
         side = lambda entries, i: entries.select(F.col("id").alias(i), F.coalesce("node", "text").alias(f"n{i}"), F.col("text").alias(f"t{i}"))
-        n = alike.count()
-        first = self._small(alike, n).join(side(self._table("entries", number), "x"), "x")
+        n = met.count()
+        first = self._small(met, n).join(side(self._table("entries", number), "x"), "x")
         both = self._small(first, n).join(side(self._table("entries", number, *earlier), "y"), "y")
         apart = both.where((F.col("nx") != F.col("ny")) & one_slip(F.col("tx"), F.col("ty")))
         return apart.select(F.least("nx", "ny").alias("a"), F.greatest("nx", "ny").alias("b")).distinct()
@@ -233,8 +242,11 @@ def deduplicate(batches: DataFrame, *, batch: str, key: str, texts: Column, agre
     history = History(spark, path, bands=bands)
     hashed = F.transform(agree, lambda a: F.when(a.isNotNull(), F.xxhash64(a)))
     columns = [F.col(key).cast("long").alias("key"), texts.alias("texts"), hashed.alias("agree"), F.coalesce(F.col(batch).cast("int"), F.lit(0)).alias("batch")]
-    prepared = materialize(batches.select(*columns), "prepared", partition_by=["batch"])
+    path, prepared = scratch_path(spark, "prepared"), batches.select(*columns)
+    prepared.write.partitionBy("batch").option("compression", "zstd").parquet(path)
+    prepared = spark.read.schema(prepared.schema).parquet(path)
     numbers = sorted(r[0] for r in prepared.select("batch").distinct().collect())
     for n in numbers:
         history.accept(prepared.where(F.col("batch") == n).drop("batch"), n)
+    drop_path(spark, path)
     return history
