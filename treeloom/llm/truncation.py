@@ -15,6 +15,7 @@ end bare. Each text is read once, for the counts, its ending and its band keys.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,9 +32,10 @@ from treeloom.runtime import materialize
 #: What sites put in place of a missing rest, and marks that end a sentence.
 MARKERS = ("…", "[...]", "[…]", "(...)", "(…)", "[sigue]", "(leer más)", "(sigue)", "[más]", "[more]", "(more)", "[continued]", "(continued)", "(read more)", "read more", "[weiter]", "(weiterlesen)", "[suite]", "(lire la suite)", "[truncated]", "[cut]", "<truncated>")
 SENTENCE_END = ".?!。！？"
+_ENDS = frozenset(SENTENCE_END)
 
 _MARKERS = tuple(sorted(MARKERS, key=len, reverse=True))
-_END = re.compile(r"""[.?!。！？](?:["'”’»)\]*_]*)$""")
+_CLOSERS = "\"'”’»)]*_"
 _SPLIT = re.compile(r"""(?<=[.?!。！？])["'”’»)\]]*\s+""")
 _LIST = re.compile(r"^\s*(?:\d+[.)]|[-*+•])\s+")
 _SMILE = re.compile(r"(?:[:;=]-?[)(DPp]|<3)$")
@@ -46,7 +48,6 @@ _OPEN_TAG = re.compile(r"<[/a-zA-Z][^<>]*$")
 _LONG_TAG = re.compile(r"""<[a-zA-Z][\w:-]*(?:\s+[\w:@.-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))*\s*(?:[\w:@.-]+\s*(?:=\s*(?:"[^"]*|'[^']*)?)?)?$""")
 _INDENTED = re.compile(r"^(?: {4}|\t)\S")
 _DIGITS = re.compile(r"\d")
-_DOTS = re.compile(r"(?<!\.)\.\.\.$")
 
 
 @lru_cache(maxsize=200_000)
@@ -82,10 +83,19 @@ def _url_key(url: str) -> str:
     return "end " + ("0" * len(last) if last.isdigit() else last.lower())
 
 
+def _ended(piece: str) -> bool:
+    """Whether a sentence mark ends the text, quotes and brackets after it aside."""
+    return piece.rstrip(_CLOSERS)[-1:] in _ENDS
+
+
+def _url_at_end(piece: str) -> re.Match | None:
+    return _URL.search(piece) if "://" in piece else None
+
+
 def _close_of(piece: str) -> str:
-    if _URL.search(piece):
+    if _url_at_end(piece):
         return "bare"
-    return "dots" if _DOTS.search(piece) else "mark" if _END.search(piece) else "bare"
+    return "dots" if piece.endswith("...") and piece[-4:-3] != "." else "mark" if _ended(piece) else "bare"
 
 
 class Unit:
@@ -137,13 +147,14 @@ def read_units(text: str) -> tuple[list[Unit], str]:
             continue
         close_block()
         if _LIST.match(line):
-            units.append(Unit("list", _LIST.sub("", line), "mark" if _END.search(line.rstrip()) else "bare"))
+            units.append(Unit("list", _LIST.sub("", line), "mark" if _ended(line.rstrip()) else "bare"))
             continue
         for n, piece in enumerate(_SPLIT.split(re.sub(r"^[>\s]+", "", line.rstrip()))):
             if piece.strip():
-                units.append(Unit("url" if _URL.search(piece) else "text", piece, _close_of(piece), n > 0))
-                if units[-1].kind == "url":
-                    units[-1].close = _url_key(_URL.search(piece)[0])
+                url = _url_at_end(piece)
+                units.append(Unit("url" if url else "text", piece, _close_of(piece), n > 0))
+                if url:
+                    units[-1].close = _url_key(url[0])
     close_block()
     tail = lines[-1] if lines else ""
     bare_tail = tail.rstrip()
@@ -159,7 +170,7 @@ def read_units(text: str) -> tuple[list[Unit], str]:
         return units, "cut"
     if _ESCAPE.search(bare_tail) or _ENTITY.search(bare_tail):
         return units, "cut"
-    ended = bool(_END.search(bare_tail)) and not _URL.search(bare_tail)
+    ended = _ended(bare_tail) and not _url_at_end(bare_tail)
     if marked:
         # a stand-in after an ended sentence is an omission the author made
         return units, "closed" if ended or not bare_tail else "cut"
@@ -217,8 +228,11 @@ def _stats(u: Unit, bare: bool) -> Iterator[tuple[str, str, int]]:
 def _count_words(text: str, times: int, n: Counter, hits: Counter, written: Counter) -> None:
     """How often each word stands anywhere, and how often a word or two words standing in a bare unit close it."""
     body, _ = strip_marker(text)
-    for w in body.split():
-        written[w] += times
+    if times == 1:
+        written.update(body.split())
+    else:
+        for w in body.split():
+            written[w] += times
     for line in body.split("\n"):
         if "```" in line or _INDENTED.match(line):
             continue
@@ -390,9 +404,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _shingles(words: list[str], size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` words, in order; of all words if there are fewer."""
-    h = np.fromiter((_hash64(w.lower()) for w in words), np.uint64, len(words))
+def _word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_hash64, map(str.lower, words)), np.uint64, len(words))
+
+
+def _shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, in order, from the words' hashes; of all words if there are fewer."""
     if len(h) <= 1:
         return h
     width = min(size, len(h))
@@ -413,18 +430,22 @@ def band_rows(bodies: list[str], asks: np.ndarray, bands: int, rows: int, size:
     A body that asks for a longer copy does so by its whole and by its longest
     beginning, which a copy of up to twice its length shares; it answers by all.
     """
+    words_of = [body.split() for body in bodies]
+    words = np.fromiter(map(len, words_of), np.int64, len(words_of))
+    every = _word_hashes(list(itertools.chain.from_iterable(words_of)))
+    runs, first = _shingles(every, size), np.cumsum(words) - words
     hashes, lengths, text_of, level_of, last = [], [], [], [], []
-    for i, body in enumerate(bodies):
-        words = body.split()
-        h = _shingles(words, size)
-        if not len(h):
+    for i, (n, at) in enumerate(zip(words.tolist(), first.tolist())):
+        if not n:
             continue
+        # runs over all bodies are those of a body as long as they stay within it
+        h = runs[at : at + n - size + 1] if n >= size else _shingles(every[at : at + n], size)
         # parts between the ends of the beginnings
-        ends = [n - size + 1 for n in _heads(len(words))]
-        for level, part in enumerate(np.split(h, ends)):
-            if len(part):
-                hashes.append(part)
-                lengths.append(len(part))
+        ends = [0, *(m - size + 1 for m in _heads(n)), len(h)]
+        for level, (a, b) in enumerate(zip(ends, ends[1:])):
+            if b > a:
+                hashes.append(h[a:b])
+                lengths.append(b - a)
                 text_of.append(i)
                 level_of.append(level)
         last.append(len(lengths) - 1)
@@ -442,7 +463,6 @@ def band_rows(bodies: list[str], asks: np.ndarray, bands: int, rows: int, size:
         mins[at] = np.minimum(mins[at], mins[at - 1])
     whole = _keys(mins[last], bands, rows, 0)
     out = [(np.repeat(text_of[last], bands), whole.ravel(), np.repeat(asks[text_of[last]], bands))]
-    words = np.array([len(body.split()) for body in bodies])
     for level in range(level_of.max() + 1):
         # the part of this level ends the beginning of HEAD << level words, if the text has as many
         at = np.flatnonzero((level_of == level) & (words[text_of] >= HEAD << level))
@@ -480,7 +500,7 @@ def aligned_cut(short: str, long: str, size: int = 5, threshold: float = 0.8) ->
     found = [i for i in range(len(other) - 3) if other[i + 3].startswith(last) and other[i : i + 3] == probe]
     if not found:
         return ""
-    x, y = np.unique(_shingles(words, size)), _shingles(other, size)
+    x, y = np.unique(_shingles(_word_hashes(words), size)), _shingles(_word_hashes(other), size)
     new = np.zeros(len(y), bool)
     new[np.unique(y, return_index=True)[1]] = True
     different, both = np.cumsum(new), np.cumsum(new & np.isin(y, x))
@@ -495,7 +515,7 @@ def aligned_cut(short: str, long: str, size: int = 5, threshold: float = 0.8) ->
         return "cut"
     if i + 4 >= len(other):
         return ""
-    return "end" if _END.search(whole) or _line_break_after(long, other, i + 3) else "cut"
+    return "end" if _ended(whole) or _line_break_after(long, other, i + 3) else "cut"
 
 
 def _line_break_after(text: str, words: list[str], index: int) -> bool:
@@ -530,7 +550,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last_of_line = set(np.cumsum([len(line.split()) for line in text.split("\n")]) - 1)
             for i in range(len(words) - 3):
                 word = words[i + 3]
-                goes_on = not _END.search(word) and i + 3 not in last_of_line if i + 4 < len(words) else None
+                goes_on = not _ended(word) and i + 3 not in last_of_line if i + 4 < len(words) else None
                 found.add((_run_hash(words[i : i + 3]), word, goes_on))
             rows.extend((rep, h, w, len(w.rstrip(SENTENCE_END + "\"'")), g, len(body)) for h, w, g in found)
             if len(rows) >= 50_000:
