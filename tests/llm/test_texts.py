@@ -1,11 +1,13 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from treeloom.llm import truncation
 from treeloom.llm.features import document_features, hilbert_keys, project, token_counts
 from treeloom.llm.mixing import Cell, exact_budget, mix, rake, source_totals
 from treeloom.llm.packing import Packer, fill, pack, pieces
-from treeloom.llm.truncation import FACTS, aligned_cut, corpus_counts, rates, read_units, strip_marker, truncated
+from treeloom.llm.truncation import FACTS, aligned_by_index, aligned_cut, corpus_counts, rates, read_units, strip_marker, truncated
 
 
 def test_hilbert_neighbours_are_adjacent():
@@ -304,3 +306,59 @@ def test_cut_copies_at_the_threshold_are_found(spark):
     found = {r.doc_id: r for r in truncated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert len([k for k in range(200) if found[2 * k].aligned != "cut"]) <= 1  # 0.04 % are expected to escape
     assert not any(found[2 * k + 1].aligned for k in range(200))
+
+
+def unlike_texts_with_one_ending():
+    """(rep, text, asks): texts that go on after the same words, unlike before them, and cut ones, some of them copies with a few words changed."""
+    rng = np.random.default_rng(3)
+    opening, ending = " ".join(f"o{i}q" for i in range(16)), "have a look at the children"
+    rows = []
+    for i in range(150):
+        words = [f"t{i}w{j}" for j in range(rng.integers(20, 60))]
+        rows.append((i, f"{opening} {' '.join(words)} {ending} first of all, {' '.join(f't{i}v{j}' for j in range(30))}.", False))
+        if i % 3 == 0:
+            for j in rng.integers(0, len(words), i % 5):
+                words[j] = "changed"
+            rows.append((1000 + i, f"{opening} {' '.join(words)} {ending}", True))
+    for i in range(100):
+        rows.append((2000 + i, f"{opening} {' '.join(f's{i}w{j}' for j in range(rng.integers(4, 60)))} {ending}"[: -1 - i % 2], True))
+    # a boilerplate that many texts share as a whole, and an end beside it
+    shared = " ".join(f"b{j}q" for j in range(40))
+    rows += [(3000 + i, f"{shared} see the children first and then text {i}.", False) for i in range(40)]
+    rows += [(4000, f"{shared} see the chil", True), (4001, f"{shared} see the children first and", True), (4002, f"{shared} see the", True), (3999, f"{shared} see the\n\nNext it goes on here.", False)]
+    whole = f"{opening} {' '.join(f'e{j}w' for j in range(30))} is over there"
+    return [*rows, (5000, f"{whole}\n\nAnother line that goes on.", False), (5001, whole, True)]
+
+
+@pytest.mark.parametrize("settings", [{}, {"many": 0, "first": 1}, {"many": 10, "first": 2, "sample": 10, "known": 3, "extra": 1}])
+def test_lookup_by_endings_is_as_exact_as_all_pairs(spark, settings):
+    rows = unlike_texts_with_one_ending()
+    expected = {}
+    for rep, text, asks in rows:
+        shown = {aligned_cut(text, other) for _, other, _ in rows if asks and len(text) < len(other)} - {""}
+        if shown:
+            expected[rep] = min(shown)
+    got = aligned_by_index(spark.createDataFrame(rows, "rep bigint, text string, asks boolean"), 5, 0.8, **settings)
+    assert {r.rep: r["min(aligned)"] for r in got.groupBy("rep").agg(F.min("aligned")).collect()} == expected
+    assert len(expected) > 15 and set(expected.values()) == {"cut", "end"} and {4000, 4001, 4002} <= set(expected)
+
+
+def test_unlike_texts_with_one_ending_are_not_compared(spark, monkeypatch):
+    def counting(size, threshold):
+        def run(batches):
+            group, waiting = None, 0
+            for batch in batches:
+                pairs = []
+                for key, rep, whole in zip(*(batch.column(c).to_pylist() for c in ("grp", "rep", "is_whole"))):
+                    group, waiting = key, (waiting if key == group else 0) + (not whole)
+                    pairs += [rep] * (waiting if whole else 0)
+                yield type(batch).from_pydict({"rep": pairs, "aligned": [""] * len(pairs)}, schema=schema)
+
+        return run
+
+    schema = pa.schema([("rep", pa.int64()), ("aligned", pa.string())])
+    monkeypatch.setattr(truncation, "_seek", counting)
+    rows = [r for r in unlike_texts_with_one_ending() if r[0] < 3000]
+    compared = aligned_by_index(spark.createDataFrame(rows, "rep bigint, text string, asks boolean"), 5, 0.8).count()
+    # 150 texts that ask and 150 others: they were all compared with each other
+    assert 15 < compared < 500

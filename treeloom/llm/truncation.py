@@ -19,12 +19,11 @@ import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeloom.runtime import materialize
@@ -48,11 +47,25 @@ _OPEN_TAG = re.compile(r"<[/a-zA-Z][^<>]*$")
 _LONG_TAG = re.compile(r"""<[a-zA-Z][\w:-]*(?:\s+[\w:@.-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))*\s*(?:[\w:@.-]+\s*(?:=\s*(?:"[^"]*|'[^']*)?)?)?$""")
 _INDENTED = re.compile(r"^(?: {4}|\t)\S")
 _DIGITS = re.compile(r"\d")
+_LAST_WORD = re.compile(r"\w+\W*$")
+_QUOTED = re.compile(r"^[>\s]+")
 
 
-@lru_cache(maxsize=200_000)
-def _key(word: str) -> str:
-    return _DIGITS.sub("0", word.lower())
+class _Kept(dict):
+    """A function's values by word, a bounded number of them: looked up much faster than in an lru_cache."""
+
+    def __init__(self, function, most: int = 200_000):
+        self.function, self.most = function, most
+
+    def __missing__(self, word: str):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = self.function(word)
+        return value
+
+
+_KEYS = _Kept(lambda word: _DIGITS.sub("0", word.lower()))
+_key = _KEYS.__getitem__
 
 
 def strip_marker(text: str) -> tuple[str, bool]:
@@ -107,9 +120,9 @@ class Unit:
         words = text.split()
         self.kind, self.end, self.inline = kind, end, inline
         self.open1 = _key(words[0]) if words else ""
-        self.open2 = " ".join(_key(w) for w in words[:2]) if len(words) > 1 else ""
         self.close = _key(words[-1]) if words else ""
-        self.close2 = " ".join(_key(w) for w in words[-2:])
+        self.open2 = f"{self.open1} {_key(words[1])}" if len(words) > 1 else ""
+        self.close2 = f"{_key(words[-2])} {self.close}" if len(words) > 1 else self.close
         self.form = f"{len(words)} {self.open1}" if kind == "text" else str(len(words))
 
 
@@ -127,7 +140,7 @@ def read_units(text: str) -> tuple[list[Unit], str]:
     def close_block() -> None:
         if block:
             for i, b in enumerate(block):
-                word = (re.findall(r"\w+\W*$", b.strip()) or [b.strip()])[-1]
+                word = (_LAST_WORD.findall(b.strip()) or [b.strip()])[-1]
                 units.append(Unit("code", word, "bare" if i == len(block) - 1 else "open"))
             block.clear()
 
@@ -149,7 +162,7 @@ def read_units(text: str) -> tuple[list[Unit], str]:
         if _LIST.match(line):
             units.append(Unit("list", _LIST.sub("", line), "mark" if _ended(line.rstrip()) else "bare"))
             continue
-        for n, piece in enumerate(_SPLIT.split(re.sub(r"^[>\s]+", "", line.rstrip()))):
+        for n, piece in enumerate(_SPLIT.split(_QUOTED.sub("", line.rstrip()))):
             if piece.strip():
                 url = _url_at_end(piece)
                 units.append(Unit("url" if url else "text", piece, _close_of(piece), n > 0))
@@ -225,11 +238,14 @@ def _stats(u: Unit, bare: bool) -> Iterator[tuple[str, str, int]]:
             yield "form bare", u.form, 1
 
 
-def _count_words(text: str, times: int, n: Counter, hits: Counter, written: Counter) -> None:
-    """How often each word stands anywhere, and how often a word or two words standing in a bare unit close it."""
+def _count_words(text: str, times: int, n: Counter, hits: Counter, written: Counter, once: dict[str, list]) -> None:
+    """How often each word stands anywhere, and how often a word or two words standing in a bare unit close it.
+
+    What counts once is put into ``once``, by what it counts as, to be counted with that of other texts.
+    """
     body, _ = strip_marker(text)
     if times == 1:
-        written.update(body.split())
+        once["word"] += body.split()
     else:
         for w in body.split():
             written[w] += times
@@ -237,18 +253,23 @@ def _count_words(text: str, times: int, n: Counter, hits: Counter, written: Coun
         if "```" in line or _INDENTED.match(line):
             continue
         listed = bool(_LIST.match(line))
-        for piece in _SPLIT.split(_LIST.sub("", line.rstrip())):
-            if not piece.strip() or _close_of(piece) != "bare" and not listed:
+        for piece in _SPLIT.split(_LIST.sub("", line.rstrip()) if listed else line.rstrip()):
+            if not piece.strip() or not listed and _close_of(piece) != "bare":
                 continue
             stat, pair = ("in list", "pair list") if listed else ("in bare", "pair bare")
-            ws = [_key(w) for w in piece.split()]
-            for i, w in enumerate(ws):
-                n[stat, w] += times
-                hits[stat, w] += times * (i == len(ws) - 1)
-                if i:
-                    both = ws[i - 1] + " " + w
-                    n[pair, both] += times
-                    hits[pair, both] += times * (i == len(ws) - 1)
+            ws = [*map(_key, piece.split())]
+            both = [*map(" ".join, zip(ws, ws[1:]))]
+            if times == 1:
+                once[stat] += ws
+                once[pair] += both
+            else:
+                for w in ws:
+                    n[stat, w] += times
+                for w in both:
+                    n[pair, w] += times
+            hits[stat, ws[-1]] += times
+            if both:
+                hits[pair, both[-1]] += times
 
 
 def _bare_word(word: str) -> str:
@@ -291,36 +312,49 @@ def _reader(bands: int, rows: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, hits, written = Counter(), Counter(), Counter()
+        singly = {stat: Counter() for stat in ("in bare", "pair bare", "in list", "pair list")}
+
+        def add_up(once: dict[str, list]) -> None:
+            for stat, keys in once.items():
+                (written if stat == "word" else singly[stat]).update(keys)
+                keys.clear()
 
         def counts() -> Iterator[pa.RecordBatch]:
+            for stat, counter in singly.items():
+                for key, count in counter.items():
+                    n[stat, key] += count
             for w, count in written.items():  # each different word is normalised once
                 n["word", _bare_word(w)] += count
             if n:
                 yield _facts("count", stat=[k[0] for k in n], key=[k[1] for k in n], n=list(n.values()), hits=[hits[k] for k in n])
-            for c in (n, hits, written):
+            for c in (n, hits, written, *singly.values()):
                 c.clear()
 
         for batch in batches:
             reps, texts = batch.column("rep").to_pylist(), batch.column("text").to_pylist()
             endings, asks = [], []
+            once = {"word": [], **{stat: [] for stat in singly}}
             for rep, text, times in zip(reps, texts, batch.column("times").to_pylist()):
                 units, verdict = read_units(text)
                 _count_units(units, times, n, hits)
-                _count_words(text, times, n, hits, written)
+                _count_words(text, times, n, hits, written, once)
+                if len(once["word"]) > 100_000:
+                    add_up(once)
                 asks.append(verdict != "closed")
                 if verdict == "bare":
                     kind, need = _needs(text, units[-1])
                     endings.extend((rep, verdict, kind, s, k) for s, k in need)
                 else:
                     endings.append((rep, verdict, "", None, None))
+            add_up(once)
             if endings:
                 yield _facts("ending", **dict(zip(("rep", "verdict", "kind", "stat", "key"), zip(*endings))))
-            for at in range(0, len(texts), 2000):
-                bodies = [strip_marker(t)[0] for t in texts[at : at + 2000]]
-                of, keys, asking = band_rows(bodies, np.array(asks[at : at + 2000]), bands, rows, size)
+            for at in range(0, len(texts), 500):  # few enough for a processor's own memory
+                bodies = [strip_marker(t)[0] for t in texts[at : at + 500]]
+                of, keys, asking = band_rows(bodies, np.array(asks[at : at + 500]), bands, rows, size)
                 if len(of):
-                    yield _facts("band", rep=np.array(reps[at : at + 2000])[of], n=np.fromiter(map(len, bodies), np.int64, len(bodies))[of], hits=asking.astype(np.int64), band=keys)
-            if len(n) + len(written) > 300_000:
+                    yield _facts("band", rep=np.array(reps[at : at + 500])[of], n=np.fromiter(map(len, bodies), np.int64, len(bodies))[of], hits=asking.astype(np.int64), band=keys)
+            if len(n) + len(written) + sum(map(len, singly.values())) > 300_000:
                 yield from counts()
         yield from counts()
 
@@ -392,7 +426,6 @@ HEAD, HEAD_BANDS, HEAD_ROWS = 16, 8, 3
 _ODD = np.uint64(0xBF58476D1CE4E5B9)
 
 
-@lru_cache(maxsize=200_000)
 def _hash64(text: str) -> int:
     import xxhash
 
@@ -404,8 +437,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_LOWER, _EXACT = _Kept(lambda word: _hash64(word.lower())), _Kept(_hash64)
+
+
 def _word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_hash64, map(str.lower, words)), np.uint64, len(words))
+    return np.fromiter(map(_LOWER.__getitem__, words), np.uint64, len(words))
 
 
 def _shingles(h: np.ndarray, size: int) -> np.ndarray:
@@ -456,8 +492,15 @@ def band_rows(bodies: list[str], asks: np.ndarray, bands: int, rows: int, size:
     rng = np.random.default_rng(8)
     a, b = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
     mins = np.empty((len(starts), bands * rows), np.uint64)
+    x, y = np.empty_like(h), np.empty_like(h)
     for j in range(bands * rows):
-        mins[:, j] = np.minimum.reduceat(_mix(h * a[j] + b[j]), starts)
+        # _mix in place
+        np.multiply(h, a[j], out=x)
+        np.add(x, b[j], out=x)
+        np.bitwise_xor(x, np.right_shift(x, np.uint64(31), out=y), out=x)
+        np.multiply(x, _ODD, out=x)
+        np.bitwise_xor(x, np.right_shift(x, np.uint64(29), out=y), out=x)
+        mins[:, j] = np.minimum.reduceat(x, starts)
     for level in range(1, level_of.max() + 1):
         at = np.flatnonzero(level_of == level)
         mins[at] = np.minimum(mins[at], mins[at - 1])
@@ -530,34 +573,74 @@ def _line_break_after(text: str, words: list[str], index: int) -> bool:
 
 _RUNS = "rep bigint, run bigint, next string, core int, goes_on boolean, chars bigint"
 
+#: Bits of the filter of wanted keys, as a power of two, and of the part of it that one row holds: 8 MB at most, whatever the input.
+FILTER_BITS, BLOCK_BITS = 26, 14
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, bits): the parts of the filter that the keys of this partition fall into."""
+    blocks: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at = batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+        for block in np.unique(at >> np.uint64(BLOCK_BITS)).tolist():
+            here = at[at >> np.uint64(BLOCK_BITS) == block] & np.uint64((1 << BLOCK_BITS) - 1)
+            blocks.setdefault(block, np.zeros(1 << BLOCK_BITS, bool))[here] = True
+    if blocks:
+        yield pa.RecordBatch.from_pydict({"block": pa.array(list(blocks), pa.int32()), "bits": pa.array([np.packbits(b).tobytes() for b in blocks.values()], pa.binary())})
+
+
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """Bits by the keys' first ones. A key that is not among them passes at times, which the join after it mends; none is lost."""
+    block = F.shiftrightunsigned("key", 64 - FILTER_BITS + BLOCK_BITS).alias("block")
+    bits = np.zeros((1 << FILTER_BITS - BLOCK_BITS, 1 << BLOCK_BITS - 3), np.uint8)
+    for row in keys.select("key", block).repartition("block").select("key").mapInArrow(_blocks, "block int, bits binary").collect():
+        bits[row.block] = np.frombuffer(row.bits, np.uint8)
+    return bits.ravel()
+
 
-def _run_hash(words: list[str]) -> int:
-    return _hash64(" ".join(words)) - (1 << 63)
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys >> np.uint64(64 - FILTER_BITS)
+    return (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, run, next, core, goes_on, chars): each three words in a row of a text, by hash, and the word after them.
+def _runs(wanted):
+    """(rep, run, next, core, goes_on, chars): each wanted three words in a row of a text, by hash, and the word after them.
 
     core is the length of the next word without sentence marks and quotes; goes_on
     tells whether its sentence and line go on after it, null if no word follows.
     """
     schema = pa.schema([("rep", pa.int64()), ("run", pa.int64()), ("next", pa.string()), ("core", pa.int32()), ("goes_on", pa.bool_()), ("chars", pa.int64())])
-    for batch in batches:
-        rows: list[tuple] = []
-        for rep, text in zip(batch.column("rep").to_pylist(), batch.column("text").to_pylist()):
-            body, found = strip_marker(text)[0], set()
-            words = body.split()
-            last_of_line = set(np.cumsum([len(line.split()) for line in text.split("\n")]) - 1)
-            for i in range(len(words) - 3):
-                word = words[i + 3]
-                goes_on = not _ended(word) and i + 3 not in last_of_line if i + 4 < len(words) else None
-                found.add((_run_hash(words[i : i + 3]), word, goes_on))
-            rows.extend((rep, h, w, len(w.rstrip(SENTENCE_END + "\"'")), g, len(body)) for h, w, g in found)
-            if len(rows) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps, texts = batch.column("rep").to_pylist(), batch.column("text").to_pylist()
+            for start in range(0, len(texts), 2000):
+                bodies = [strip_marker(t)[0] for t in texts[start : start + 2000]]
+                words_of = [body.split() for body in bodies]
+                counts = np.fromiter(map(len, words_of), np.int64, len(words_of))
+                every = _shingles(_exact_hashes(list(itertools.chain.from_iterable(words_of))), 3)
+                first = np.cumsum(counts) - counts
+                at = np.flatnonzero(_passes(wanted.value, every))
+                of = np.searchsorted(first, at, "right") - 1
+                # the last text that begins there is the one with words; three words of it and one after them
+                inside = at - first[of] + 3 < counts[of]
+                found: dict[tuple, None] = {}
+                lines: dict[int, set] = {}
+                for t, i, h in zip(of[inside].tolist(), (at - first[of])[inside].tolist(), every[at[inside]].view(np.int64).tolist()):
+                    words = words_of[t]
+                    if t not in lines:
+                        lines[t] = set(np.cumsum([len(line.split()) for line in texts[start + t].split("\n")]) - 1)
+                    word = words[i + 3]
+                    goes_on = not _ended(word) and i + 3 not in lines[t] if i + 4 < len(words) else None
+                    found[reps[start + t], h, word, len(word.rstrip(SENTENCE_END + "\"'")), goes_on, len(bodies[t])] = None
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+    return run
+
+
+def _exact_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_EXACT.__getitem__, words), np.uint64, len(words))
 
 
 def _last_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -569,11 +652,83 @@ def _last_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             body = strip_marker(text)[0]
             words = body.split()
             if len(words) >= 4:
-                rows.append((rep, _run_hash(words[-4:-1]), words[-1], len(body)))
+                rows.append((rep, int(_shingles(_exact_hashes(words[-4:-1]), 3).view(np.int64)[0]), words[-1], len(body)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def _sets(texts: list[str], size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each text the characters of its body and its different shingles, in order."""
+    bodies = [strip_marker(t)[0] for t in texts]
+    words_of = [body.split() for body in bodies]
+    every = _word_hashes(list(itertools.chain.from_iterable(words_of)))
+    runs, at = _shingles(every, size), 0
+    for body, words in zip(bodies, words_of):
+        n = len(words)
+        h = runs[at : at + n - size + 1] if n >= size else _shingles(every[at : at + n], size)
+        at += n
+        yield len(body), h[np.sort(np.unique(h, return_index=True)[1])]
+
+
+_COMMON = "key bigint"
+_CHOSEN = "rep bigint, key bigint, least int, reach int, chars bigint"
+_HELD = "key bigint, other bigint, place int, whole_chars bigint"
+
+
+def _shingle_keys(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [h for _, h in _sets(batch.column("text").to_pylist(), size)]
+            if sets:
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(sets).view(np.int64))})
+
+    return run
+
+
+def _choose(common, size: int, threshold: float, extra: int):
+    """(rep, key, least, reach, chars): the rarest shingles of a text of which a near-copy must hold at least ``least``.
+
+    A near-copy holds ``threshold`` of all the n shingles, so it lacks n - need at
+    most: of any n - need + e it holds e. Those it shares stand among its first
+    n / threshold. Which ones are chosen only moves work.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times = common.value
+        for batch in batches:
+            out = []
+            for rep, (chars, h) in zip(batch.column("rep").to_pylist(), _sets(batch.column("text").to_pylist(), size)):
+                n = len(h)
+                lacks = n - int(np.ceil(threshold * n - 1e-9))
+                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+                often = np.where(keys[at] == h, times[at], 0) if len(keys) else np.zeros(n, np.int64)
+                chosen = h[np.lexsort((h, often))][: lacks + extra]
+                least, reach = len(chosen) - lacks, int(n / threshold + 1e-9)
+                out.extend((rep, k, least, reach, chars) for k in chosen.view(np.int64).tolist())
+            if out:
+                yield pa.RecordBatch.from_pydict({name: pa.array(c, kind) for name, kind, c in zip(("rep", "key", "least", "reach", "chars"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), zip(*out))})
+
+    return run
+
+
+def _hold(wanted, size: int):
+    """(key, other, place, whole_chars): the wanted shingles of a text, and how many different ones it has up to each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps, texts = batch.column("rep").to_numpy(), batch.column("text").to_pylist()
+            for start in range(0, len(texts), 2000):
+                chars, sets = zip(*_sets(texts[start : start + 2000], size))
+                counts = np.fromiter(map(len, sets), np.int64, len(sets))
+                every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), counts)
+                place = np.arange(len(every)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+                on = _passes(wanted.value, every)
+                if on.any():
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(every[on].view(np.int64)), "other": pa.array(reps[start : start + 2000][of[on]]), "place": pa.array(place[on], pa.int32()), "whole_chars": pa.array(np.array(chars)[of[on]], pa.int64())})
+
+    return run
+
+
 def _seek(size: int, threshold: float):
     """(rep, aligned) of the texts that wait in a group for what one of the longer texts that come after them shows."""
 
@@ -599,40 +754,75 @@ def _seek(size: int, threshold: float):
     return run
 
 
-def aligned_by_index(texts: DataFrame, shingle: int, threshold: float, *, room: int = 500, starts: int = 64, salts: int = 16) -> DataFrame:
+def aligned_by_index(texts: DataFrame, shingle: int, threshold: float, *, starts: int = 64, extra: int = 3, sample: int = 20_000, known: int = 200_000, many: int = 1000, first: int = 16) -> DataFrame:
     """(rep, aligned) of the texts(rep, text, asks) that ask and end early beside a longer near-copy among them, however many there are.
 
     A text's last four words are looked up among all runs of four words, the last
-    word as the beginning of one, where text follows. Neither the order nor the
-    beginning of the texts matters. First only words meet, then texts: about
-    ``room`` of one ending wait in a group while the longer ones pass by, shortest
-    first, so a group's memory is bounded and a text waits for its first proof only,
-    once for a cut and once for an end. Of last words over ``starts`` characters the
-    beginning finds the run.
+    word as the beginning of one, where text follows. Texts whose ending goes on
+    elsewhere meet those that hold enough of their rarest shingles, which every
+    near-copy does, and only then are texts aligned, until the first proof of a cut
+    and of an end. Neither the order nor the beginning of the texts matters.
+
+    Of last words over ``starts`` characters the beginning finds the run. Which
+    shingles are rare is estimated from about ``sample`` texts, the ``known`` most
+    frequent ones are told apart. A text with over ``many`` meetings tries its
+    ``first`` best ones of a part of them, and meets all if they prove nothing.
     """
+    spark = texts.sparkSession
+    share = lambda value: spark.sparkContext.broadcast(value)
     endings = materialize(texts.where("asks").select("rep", "text").mapInArrow(_last_run, "rep bigint, run bigint, last string, chars bigint"), "endings")
     endings = endings.withColumn("start", F.substring("last", 1, starts))
-    salted = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    wanted = endings.groupBy("run").agg(F.collect_set(F.length("start")).alias("lengths")).select("run", "lengths", salted.alias("salt"))
-    runs = texts.select("rep", "text").mapInArrow(_runs, _RUNS).withColumn("salt", F.pmod(F.hash("rep"), F.lit(salts)))
+    bodies = texts.select("rep", "text")
+    wanted = endings.groupBy("run").agg(F.collect_set(F.length("start")).alias("lengths"))
+    read_runs = _runs(share(_filter_of(endings.select(F.col("run").alias("key")).distinct())))
+    runs = bodies.mapInArrow(read_runs, _RUNS).select("run", "next", "core", "goes_on").distinct()
     begun = F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("next")), lambda n: F.substring(F.col("next"), F.lit(1), n)))
-    met = materialize(runs.join(wanted, ["run", "salt"]).select("rep", "run", "next", "core", "goes_on", "chars", begun.alias("start")), "runs")
+    met = materialize(runs.join(wanted, "run").select("run", "next", "core", "goes_on", begun.alias("start")), "runs")
     # an ending that no text goes on with leaves here, before any texts are paired
-    x, y = endings.select("run", "start", "last").distinct().alias("x"), met.select("run", "start", "next", "core", "goes_on").distinct().alias("y")
+    x, y = endings.select("run", "start", "last").distinct().alias("x"), met.alias("y")
     same = (F.col("x.run") == F.col("y.run")) & (F.col("x.start") == F.col("y.start")) & F.col("y.next").startswith(F.col("x.last"))
     kind = F.when((F.col("core") > F.length("last")) | F.col("goes_on"), "cut").when(~F.col("goes_on"), "end")
     proofs = materialize(x.join(y, same).select("x.run", "last", "next", F.coalesce(F.col("goes_on").cast("int"), F.lit(-1)).alias("goes_on"), kind.alias("kind")).where("kind IS NOT NULL"), "proofs")
     by = ["run", "last", "kind"]
-    open_endings = endings.join(proofs.select(*by).distinct(), ["run", "last"])
-    groups = open_endings.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("parts"))
-    grp = F.xxhash64(*by, "part").alias("grp")
-    waiting = open_endings.join(groups, by).withColumn("part", F.pmod(F.hash("rep"), F.col("parts"))).select(grp, "kind", "rep", F.lit(False).alias("is_whole"), "chars")
-    carriers = met.select("run", "next", F.coalesce(F.col("goes_on").cast("int"), F.lit(-1)).alias("goes_on"), "rep", "chars").distinct()
-    carriers = carriers.join(proofs, ["run", "next", "goes_on"]).select(*by, "rep", "chars").distinct()
-    passing = carriers.join(groups, by).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(grp, "kind", "rep", F.lit(True).alias("is_whole"), "chars")
-    rows = waiting.unionByName(passing).join(texts.select("rep", "text"), "rep")
-    ordered = rows.repartition("grp").sortWithinPartitions("grp", "is_whole", "chars")
-    return ordered.mapInArrow(_seek(shingle, threshold), "rep bigint, aligned string")
+    waiting = materialize(endings.join(proofs.select(*by).distinct(), ["run", "last"]).select("rep", *by, "chars"), "waiting")
+
+    part = max(1, texts.count() // sample)
+    counted = bodies.where(F.pmod(F.xxhash64("rep"), F.lit(part)) == 0).mapInArrow(_shingle_keys(shingle), _COMMON).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    common = counted.where("n > 1").orderBy(F.desc("n"), "key").limit(known).toArrow()
+    keys, times = common.column("key").to_numpy().view(np.uint64), common.column("n").to_numpy()
+    order = np.argsort(keys)
+    asking = bodies.join(waiting.select("rep").distinct(), "rep")
+    chosen = materialize(asking.mapInArrow(_choose(share((keys[order], times[order])), shingle, threshold, extra), _CHOSEN), "chosen")
+    held = materialize(bodies.mapInArrow(_hold(share(_filter_of(chosen.select("key").distinct())), shingle), _HELD).join(chosen.select("key").distinct(), "key", "left_semi"), "held")
+
+    def meetings(some: DataFrame, holders: DataFrame, enough: bool) -> DataFrame:
+        """(rep, kind, other, n) of texts that hold enough of another's shingles and go on after its last words."""
+        near = some.join(holders, "key").where("place <= reach AND chars < whole_chars")
+        near = near.groupBy("rep", "other").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least"), F.first("whole_chars").alias("whole_chars"))
+        near = materialize(near.where("n >= least") if enough else near, "near")
+        others = bodies.join(near.select(F.col("other").alias("rep")).distinct(), "rep", "left_semi").mapInArrow(read_runs, _RUNS)
+        carriers = others.select("run", "next", F.coalesce(F.col("goes_on").cast("int"), F.lit(-1)).alias("goes_on"), F.col("rep").alias("other"))
+        return near.join(waiting.drop("chars"), "rep").join(proofs, by).join(carriers, ["run", "next", "goes_on", "other"], "left_semi").select("rep", "kind", "other", "n", "whole_chars").distinct()
+
+    def seek(pairs: DataFrame) -> DataFrame:
+        grp = F.xxhash64("grp", "kind").alias("grp")
+        lone = waiting.join(pairs.select("rep", "kind").distinct(), ["rep", "kind"], "left_semi").select(F.col("rep").alias("grp"), "kind", "rep", F.lit(False).alias("is_whole"), "chars")
+        passing = pairs.select(F.col("rep").alias("grp"), "kind", F.col("other").alias("rep"), F.lit(True).alias("is_whole"), F.col("whole_chars").alias("chars"))
+        rows = lone.unionByName(passing).withColumn("grp", grp).join(bodies, "rep")
+        return rows.repartition("grp").sortWithinPartitions("grp", "is_whole", "chars").mapInArrow(_seek(shingle, threshold), "rep bigint, aligned string")
+
+    often = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    heavy = materialize(chosen.join(often, "key").groupBy("rep").agg(F.sum("n").alias("n")).where(F.col("n") > many).select("rep"), "heavy")
+    if heavy.isEmpty():
+        return seek(materialize(meetings(chosen, held, True), "pairs"))
+    few = held.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("other"), "other"))).where(F.col("at") <= 4 * first).drop("at")
+    best = meetings(chosen.join(heavy, "rep", "left_semi"), few, False).withColumn("at", F.row_number().over(Window.partitionBy("rep", "kind").orderBy(F.desc("n"), "other"))).where(F.col("at") <= first)
+    tried = materialize(seek(materialize(best, "best")), "tried")
+    # what a cut shows is settled, and so is an end where nothing waits for a cut
+    open_cuts = waiting.where("kind = 'cut'").select("rep").distinct().join(tried.where("aligned = 'cut'"), "rep", "left_anti")
+    open_ends = waiting.where("kind = 'end'").select("rep").distinct().join(tried, "rep", "left_anti")
+    rest = chosen.join(open_cuts.unionByName(open_ends).distinct(), "rep", "left_semi")
+    return tried.unionByName(seek(materialize(meetings(rest, held, True), "pairs")))
 
 
 def near_copy_endings(facts: DataFrame, distinct: DataFrame, *, shingle: int = 5, threshold: float = 0.8, small: int = 32) -> DataFrame:
