@@ -197,6 +197,58 @@ def test_backlink_keeps_order_repeats_and_skips_unknown(spark):
     assert [(r.id, [c.t for c in r.choices]) for r in p.run().tables["q"].orderBy("id").collect()] == [("q1", ["two", "one", "two"]), ("q2", [])]
 
 
+def _moved(df) -> int:
+    """Bytes that a frame's exchanges wrote, before compression."""
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    total, todo = 0, [execution.executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            total += node.metrics().apply("dataSize").value()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_backlink_moves_no_list_with_each_of_its_ids(spark):
+    n, of = 400, 8
+    parents = spark.range(of).select("id", F.expr(f"transform(sequence(0, {n - 1}), x -> x * {of} + id)").alias("ids"))
+    p = etl(parents, spark.range(n * of).withColumn("t", F.lit("text"))).map_to("q", [Field("id", get("id")), TempField("ids", get("ids"))], join_on=["id"])
+    p = p.goto_root(1).map_to("c", [Field("id", get("id")), Field("t", get("t"))], join_on=["id"]).backlink("q", "c", "found", by={"ids": "id"})
+    found = p.run().tables["q"]
+    assert {r.id: [c.id for c in r.found] for r in found.collect()} == {i: [x * of + i for x in range(n)] for i in range(of)}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _moved(p.run().tables["q"]) < 400 * n * of  # a list has 3,200 bytes
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_backlink_tells_alike_lists_apart(spark):
+    lists = [["a,b"], ["a", "b"], ["a", "b,"], ["b", "a"], ["a", "b"], [""], [], ["", ""], [None, "a"], ["a"], None, ["ab"], ["a", None, "", None, "b"]]
+    docs = from_objects([{"q": [{"id": i, "ids": x} for i, x in enumerate(lists)], "c": [{"id": x} for x in ("a", "b", "a,b", "b,", "", "ab")]}], schema="struct<q:array<struct<id:int,ids:array<string>>>,c:array<struct<id:string>>>")
+    p = etl(docs).goto("q").each().map_to("q", [Field("id", get("id")), TempField("ids", get("ids"))], join_on=["id"]).goto_root().goto("c").each().map_to("c", [Field("id", get("id"))])
+    found = p.backlink("q", "c", "found", by={"ids": "id"}).run().tables["q"]
+    assert {r.id: [c.id for c in r.found] for r in found.collect()} == {i: [v for v in x or [] if v is not None] for i, x in enumerate(lists)}
+    # an hour that comes twice in New York: one text, two instants
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        at = spark.sql("SELECT id, timestamp_seconds(1730611800 + 3600 * id) AS at FROM range(2)")
+        p = etl(at.select("id", F.array("at").alias("ats")), at).map_to("q", [Field("id", get("id")), TempField("ats", get("ats"))], join_on=["id"])
+        p = p.goto_root(1).map_to("c", [Field("id", get("id")), Field("at", get("at"))], join_on=["id"]).backlink("q", "c", "found", by={"ats": "at"})
+        assert {r.id: [c.id for c in r.found] for r in p.run().tables["q"].collect()} == {0: [0], 1: [1]}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_typed_targets_errors_and_modes(spark):
     import dataclasses
 

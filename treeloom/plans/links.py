@@ -126,14 +126,15 @@ def bind_list(parent: Table, child: Table, back: Backlink) -> Table:
     chunked = _chunks(parent, child)
     chunk = ["__chunk"] if chunked else []
     frame = parent.frame.withColumn("__ids", ids)
+    frame = frame.withColumn("__list", _digest(F.col("__ids"), frame.schema["__ids"].dataType.elementType))
     rows = parent_rows(child, [right], ["__cid"], child.unique_on == frozenset([of]), chunked, back.attr)
-    # one answer for each different list, however many parents have it
-    lists = frame.select("__ids", *chunk).where(F.size("__ids") > 0).distinct().select("__ids", *chunk, F.posexplode("__ids").alias("__pos", "__id"))
+    # one answer for each different list, however many parents have it; an id carries its list's digest, not the list
+    lists = frame.where(F.size("__ids") > 0).groupBy("__list", *chunk).agg(F.any_value("__ids").alias("__ids")).select("__list", *chunk, F.posexplode("__ids").alias("__pos", "__id"))
     on = [F.col("__id") == F.col("__cid")] + ([F.col("__chunk") == F.col("__pchunk")] if chunked else [])
-    found = lists.join(rows, reduce(Column.__and__, on)).groupBy("__ids", *chunk).agg(F.collect_list(F.struct("__pos", "__row")).alias("__found"))
+    found = lists.join(rows, reduce(Column.__and__, on)).groupBy("__list", *chunk).agg(F.collect_list(F.struct("__pos", "__row")).alias("__found"))
     ordered = F.array_sort("__found", lambda a, b: a["__pos"] - b["__pos"])
-    answers = found.select("__ids", *chunk, F.transform(ordered, lambda e: e["__row"]).alias("__rows"))
-    joined = frame.join(answers, ["__ids", *chunk], "left")
+    answers = found.select("__list", *chunk, F.transform(ordered, lambda e: e["__row"]).alias("__rows"))
+    joined = frame.join(answers, ["__list", *chunk], "left")
     empty = F.array().cast(answers.schema["__rows"].dataType)
     columns = [c for c in parent.columns if c != back.attr]
     own = [c for c in parent.frame.columns if c not in parent.columns]
@@ -141,6 +142,13 @@ def bind_list(parent: Table, child: Table, back: Backlink) -> Table:
     return Table(**{**parent.__dict__, "frame": frame, "columns": [*columns, back.attr], "types": {c: frame.schema[c].dataType for c in frame.columns}})
 
 
+def _digest(ids: Column, element: T.DataType) -> Column:
+    """16 bytes that stand for a list of plain values; nulls, which name nothing, leave no trace."""
+    # a comma before each value in hex, so that different lists give different texts; a timestamp's text depends on the time zone
+    plain = lambda x: F.unix_micros(x) if isinstance(element, T.TimestampType) else x.cast("string")
+    return F.unhex(F.left(F.sha2(F.array_join(F.transform(ids, lambda x: F.concat(F.lit(","), F.hex(plain(x)))), ""), 256), F.lit(32)))
+
+
 def missing_parents(child: Table, parent: Table, by: dict[str, str]) -> DataFrame:
     """The child's rows whose keys are all given but name no parent row."""
     left, right = _pairs(child, parent, by)
